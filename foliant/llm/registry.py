@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, sharding
+from . import decontam, mixing, pages, pii, quality, sharding, urls
 from .common import read
 
 
@@ -15,6 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": lambda spark, d: pii.digest(docs(spark, d)),
         "op2_quality": lambda spark, d: quality.assess(docs(spark, d)),
+        "op3_url_filter": lambda spark, d: urls.judged(read(spark, d, "pages")),
+        "op4_decontamination": lambda spark, d: decontam.matches(docs(spark, d), read(spark, d, "benchmark")),
+        "op5_html_extraction": lambda spark, d: pages.extracted(read(spark, d, "pages")),
         "op7_mixing": lambda spark, d: mixing.mixture(docs(spark, d)),
         "op8_sharding": lambda spark, d: sharding.sharded(docs(spark, d)),
     }
