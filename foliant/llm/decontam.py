@@ -8,7 +8,7 @@ perfect copy. Each window is aligned, none is dropped for its rank.
 The test items are a query set: they are taken in blocks of at most BLOCK_BYTES, whose index each worker gets, so the corpus is only ever
 read in place: no shuffle, whatever its size, and memory bounded by a block and a batch.
 
-Defined results: null or empty texts and items match nothing; items shorter than N words have one seed, all their words; repeated rows are judged
+Case and punctuation do not count. Defined results: null or empty texts and items match nothing; items shorter than N words have one seed, all their words; repeated rows are judged
 each; empty tables give empty results (or, when filtering, the documents as they are).
 """
 
@@ -33,6 +33,8 @@ LEAST_SEEDS = 3
 #: Part of a perfect copy's score from which an item counts as leaked.
 THRESHOLD = 0.45
 BLOCK_BYTES = 8 * 2**20
+#: Copies may differ in punctuation: ASCII characters that are no letters or digits separate words here.
+TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 class Index:
@@ -40,7 +42,7 @@ class Index:
 
     def __init__(self, items: list[tuple[object, bytes]]):
         self.ids = [i for i, _ in items]
-        words = [t.lower().split() for _, t in items]
+        words = [t.translate(TABLE).split() for _, t in items]
         self.vocabulary: dict[bytes, int] = {}
         self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], dtype=np.int64) for ws in words]
         self.base = len(self.vocabulary) + 1
@@ -109,7 +111,7 @@ def leaks(index: Index, ids: np.ndarray, hits: list[tuple[int, int]]) -> Iterato
 
 def scan(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, score, begin, end) of the leaks in a batch of binary texts."""
-    for start, words in pieces(texts):
+    for start, words in pieces(texts, table=TABLE):
         at = ends(words)
         ids = np.fromiter(map(index.vocabulary.get, (w for ws in words for w in ws), repeat(-1)), dtype=np.int64, count=int(at[-1]))
         hit_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -137,7 +139,7 @@ def scan(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, int,
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
     """The items, a block at a time; the driver holds one block and one partition of them."""
     held, size = [], 0
-    for x in benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t")).toLocalIterator():
+    for x in benchmark.select("item_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary").alias("t")).toLocalIterator():
         if held and size + len(x.t) > BLOCK_BYTES:
             yield held
             held, size = [], 0
@@ -150,7 +152,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, begin, end): the items each document leaks, and the words in it where the best copy lies."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("t"))
+    rows = docs.select("doc_id", F.lower("text").cast("binary").alias("t"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
     found = spark.createDataFrame([], schema)
     for block in _blocks(benchmark):
@@ -173,7 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their own columns."""
     spark = docs.sparkSession
     names = docs.columns
-    rows = docs.select(F.struct("*").alias("doc"), F.col("text").cast("binary").alias("t"))
+    rows = docs.select(F.struct("*").alias("doc"), F.lower("text").cast("binary").alias("t"))
     for block in _blocks(benchmark):
         index = spark.sparkContext.broadcast(Index(block))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pages, pii, quality, sharding, urls
+from . import decontam, jaccard, lm, mixing, pages, pii, quality, sharding, urls
 from .common import read
 
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extraction": lambda spark, d: pages.extracted(read(spark, d, "pages")),
         "op7_mixing": lambda spark, d: mixing.mixture(docs(spark, d)),
         "op8_sharding": lambda spark, d: sharding.sharded(docs(spark, d)),
+        "op9_jaccard_join": lambda spark, d: jaccard.joined(docs(spark, d)),
+        "op10_lm_scoring": lambda spark, d: lm.scored(docs(spark, d)),
     }
 
 

@@ -11,10 +11,10 @@ import pyarrow as pa
 PIECE = 4 * 2**20
 
 
-def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, list[list[bytes]]]]:
+def pieces(texts: pa.Array, limit: int = PIECE, table: bytes | None = None) -> Iterator[tuple[int, list[list[bytes]]]]:
     """(row at which a piece starts, the words of each of its texts); A-Z lower-cased. texts is binary; null has no words.
 
-    bytes.lower() changes A-Z only and bytes.split() splits at exactly space and 0x09 to 0x0D.
+    bytes.lower() changes A-Z only and bytes.split() splits at exactly space and 0x09 to 0x0D. table maps bytes before that.
     """
     start, held, size = 0, [], 0
     for i, x in enumerate(texts):
@@ -22,7 +22,7 @@ def pieces(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, list[list
         if held and size + len(text) > limit:
             yield start, held
             start, held, size = i, [], 0
-        held.append(text.lower().split())
+        held.append((text.translate(table) if table else text).lower().split())
         size += len(text)
     if held:
         yield start, held
