@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, lm, mixing, pages, pii, quality, sharding, urls
+from . import decontam, jaccard, lm, mixing, pages, pii, quality, sharding, suffixes, urls
 from .common import read
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": lambda spark, d: urls.judged(read(spark, d, "pages")),
         "op4_decontamination": lambda spark, d: decontam.matches(docs(spark, d), read(spark, d, "benchmark")),
         "op5_html_extraction": lambda spark, d: pages.extracted(read(spark, d, "pages")),
+        "op6_suffix_dedup": lambda spark, d: suffixes.deduplicated(docs(spark, d)),
         "op7_mixing": lambda spark, d: mixing.mixture(docs(spark, d)),
         "op8_sharding": lambda spark, d: sharding.sharded(docs(spark, d)),
         "op9_jaccard_join": lambda spark, d: jaccard.joined(docs(spark, d)),
