@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import q_reading
+
+_PARTS = (q_reading,)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
