@@ -36,7 +36,6 @@ _PARTS = {
     "payment": lambda: _spread("", fields.payment(), "transaction_id", "date_time", "invoice_value", "mode"),
     "reverse": lambda: [fields.reverse_charge().alias("reverse_charge")],
     "words": lambda: [fields.words().alias("amount_in_words")],
-    "totals": lambda: [c.alias(n) for n, c in zip(("tax_amount", "total_amount"), fields.totals())],
 }
 _REGION_NAMES = ("SELLER", "BILLING", "PRODUCT_TABLE", "TOTAL", "PAYMENT")
 
@@ -55,7 +54,7 @@ QUERIES = {
     "field_payment": _flat("payment"),
     "field_reverse": _flat("reverse"),
     "field_words": _flat("words"),
-    "field_total_proximity": _flat("totals"),
+    "field_total_proximity": lambda s, d: fields.with_totals(fields.observed(regions(s, d))).select("doc_id", "tax_amount", "total_amount"),
     "product_bands": lambda s, d: fields.bands(regions(s, d)).selectExpr("doc_id", "band", "text", "cast(score as bigint) as score", "cast(size(amounts) as bigint) as n_amounts", "hsn"),
     "product_primary": lambda s, d: fields.primary_item(regions(s, d)).drop("page_number"),
     "money_parse": lambda s, d: _texts(s, d).select("doc_id", F.array_join(tx.field_amounts(F.col("text")), " ").alias("field_amounts"), F.array_join(tx.table_amounts(F.col("text")), " ").alias("table_amounts"), F.size(tx.spatial_amounts(F.col("text"))).cast("long").alias("n_spatial")),
