@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_documents, q_fields, q_reading, q_tables
+from . import q_documents, q_fields, q_quality, q_reading, q_tables
 
-_PARTS = (q_reading, q_fields, q_tables, q_documents)
+_PARTS = (q_reading, q_fields, q_tables, q_documents, q_quality)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _part in _PARTS:
