@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, export, integrate, validate
 from . import fixtures as fx
+from . import pipeline
 
 _M = "concat({0} div 100, '.', lpad(string({0} % 100), 2, '0'))"
 
@@ -65,6 +66,7 @@ QUERIES = {
     "export_sheet_charges": lambda s, d: export.sheet(_flat(s, d), "charges"),
     "export_sheet_validation": lambda s, d: validate.checks(documents(s, d)).select("doc_id", "document", "check_seq", "check", "status", "severity"),
     "export_sheet_summary": lambda s, d: export.summary(documents(s, d)),
+    "end_to_end": lambda s, d: pipeline.run(fx.frame(s, d, "inv_blocks")).summary(),
     "export_widths": lambda s, d: export.widths(_flat(s, d).select(*export.COLUMNS)),
 }
 

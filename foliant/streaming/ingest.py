@@ -13,7 +13,7 @@ from ..operators import classify
 
 def landing(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Text files of a folder as a stream of documents (doc_id, path, text, arrived)."""
-    rows = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(folder)
+    rows = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     return rows.select(F.xxhash64("_metadata.file_path").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
