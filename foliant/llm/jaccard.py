@@ -5,11 +5,15 @@ groups of similar ones, each group stores the union of its members' tokens (its
 if the overlap of its set with that union can reach the limit, and only groups that qualify are opened, that is, their
 members are compared one by one, exactly, on whole sets.
 
-How groups come about: 50 bands of 5 minhashes deal classes into buckets. Each class is compared with one hub, the least class that it
-shares a bucket with; links so proven connect classes to groups. Then classes ask the other groups that they share a bucket with. Two sets
-of similarity 0.75 share no bucket with probability 1e-6, of 0.8 with 2e-9; links between different groups can be lost with that probability
-only, links within a group need no second proof. Groups are asked in parts of at most PART classes, so no row grows with a
-group, and no step puts a bucket, a group or a component into one task.
+How groups come about: 50 bands of 5 minhashes deal classes into buckets. Tokens that one class alone has are in no other group's row, so a class of n
+tokens, s of them shared with any other, overlaps another class by no more than the lesser s; classes and pairs that so cannot link drop out.
+In a few rounds each class is compared with one hub, of the largest group that it shares a bucket with; links so proven
+make the groups grow. Then classes ask all other groups that they share a bucket with, the smaller group the larger. Groups are asked in parts of
+about PART classes and classes ask in lists of as many, so no row grows with a group, and no step puts a bucket, a group or a
+component into one task.
+
+Two sets of similarity 0.75 share no bucket with probability 1e-6, of 0.8 with 2e-9; links between different groups can be lost with that
+probability only. Classes are named by 64-bit hashes of their sets.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; a text of fewer than five words is one shingle; rows that
 repeat a doc_id are judged each and share ids; documents with null ids take part and never name a component that has another
@@ -35,6 +39,10 @@ N = 5
 PERCENT = 75
 BANDS, ROWS = 50, 5
 PART = 64
+#: Rounds of hubs; hubs are the members with most shared tokens and, every other round, any members.
+ROUNDS = 3
+
+#: Two classes of n and m tokens link if 7 * overlap >= 3 * (n + m): PERCENT in whole numbers. No overlap exceeds either's shared tokens.
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xD6E8FEB86659FD93)
@@ -89,7 +97,7 @@ def _sets(batches, with_bands: bool):
     for b in batches:
         for start, words in pieces(b.column("t")):
             sets = shingle_sets(words)
-            nodes = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
+            nodes = pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets], pa.int64())
             ids = b.column("id").slice(start, len(words))
             if with_bands:
                 keys = [bands(s) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
@@ -114,44 +122,58 @@ def _proven(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From rows (id, t), t the text as bytes: stored rows (id, n, node), and (node, component) for each node; component names its least id."""
     id_field = rows.schema["id"]
-    schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     seen = stored(rows.mapInArrow(lambda bs: _sets(bs, True), schema), "sets")
     nodes = stored(seen.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    member = nodes.selectExpr("explode(bands) as key", "node", "n")
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("hub")).where("c > 1").select("key", "hub")
-    held = stored(member.join(shared, "key"), "buckets")
+    member = nodes.selectExpr("explode(bands) as key", "node")
+    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    held = stored(member.join(shared.select("key"), "key").select("key", "node"), "buckets")
     # Whole sets are needed only of classes that share a bucket: their texts are read again.
     needed = held.select("node").distinct().join(nodes, "node").selectExpr("node as want", "least as id")
     needed = stored(needed, "needed")
-    token_schema = T.StructType([id_field, T.StructField("node", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    token_schema = T.StructType([id_field, T.StructField("node", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
     texts = rows.join(needed.selectExpr("id as want_id").distinct(), F.expr("id <=> want_id"), "left_semi")
     sets = texts.mapInArrow(lambda bs: _sets(bs, False), token_schema).join(needed, F.expr("node = want"), "left_semi")
     sets = stored(sets.dropDuplicates(["node"]).select("node", "tokens"), "tokens")
-    # Each class and the least hub among its buckets.
-    stars = held.where("hub < node").groupBy("node").agg(F.min("hub").alias("hub")).selectExpr("node as a", "hub as b")
-    first = stored(_proven(stars, sets), "star-links")
-    groups = stored(components(first.select("a", "b"), "groups"), "groups")
-    # Classes ask the other groups in their buckets.
-    at = held.join(groups.selectExpr("node", "root"), "node", "left").selectExpr("key", "node", "n", "coalesce(root, node) as g")
-    at = stored(at, "bucket-groups")
-    many = at.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
-    mixed = stored(at.join(many, "key", "left_semi"), "mixed-buckets")
-    asks = mixed.select("key", "node", "n", "g").join(mixed.selectExpr("key", "g as other").distinct(), "key").where("g < other").select("node", "n", "other").distinct()
-    asked = asks.select("other").distinct()
-    # The matrix: token unions of the groups asked, in parts of bounded size, with their members' least and largest size.
-    inside = groups.selectExpr("node", "root as other").unionAll(held.select("node").distinct().join(groups, "node", "left_anti").selectExpr("node", "node as other"))
-    inside = inside.join(asked, "other", "left_semi")
-    counted = inside.groupBy("other").agg(F.count(F.lit(1)).alias("c"))
-    parts = stored(inside.join(counted, "other").selectExpr("other", "node", f"pmod(xxhash64(node), greatest(1L, c div {PART // 2})) as part"), "parts")
-    matrix = parts.join(sets, "node").groupBy("other", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("all"), F.min(F.size("tokens")).alias("lo"), F.max(F.size("tokens")).alias("hi"))
-    matrix = stored(matrix, "matrix")
-    sized = asks.join(matrix.select("other", "part", "lo", "hi"), "other").where(f"100 * hi >= {PERCENT} * n and 100 * n >= {PERCENT} * lo").select("node", "n", "other", "part")
-    overlap = sized.join(sets, "node").join(matrix.select("other", "part", "all"), ["other", "part"]).selectExpr("node", "n", "other", "part", "size(array_intersect(tokens, all)) as i")
-    opened = overlap.where(f"100 * i >= {PERCENT} * n").select("node", "n", "other", "part")
-    sizes = nodes.selectExpr("node as b", "n as bn")
-    pairs = opened.join(parts.withColumnRenamed("node", "b"), ["other", "part"]).join(sizes, "b").where(f"100 * bn >= {PERCENT} * n and 100 * n >= {PERCENT} * bn").selectExpr("node as a", "b")
-    second = stored(_proven(pairs, sets), "group-links")
-    linked = components(first.unionAll(second), "links")
+    # Tokens of one class alone: counted at their only owner.
+    alone = sets.selectExpr("explode(tokens) as t", "node").groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    able = sets.select("node", F.size("tokens").cast("long").alias("n")).join(alone, "node", "left").selectExpr("node", "n", "n - coalesce(u, 0L) as s").where("4 * s >= 3 * n")
+    able = stored(able, "able")
+    live = stored(held.select("key", "node").join(able, "node").selectExpr("key", "node", "n", "s", "node as g", "1L as size"), "live-buckets")
+    links, groups = None, None
+    for turn in range(ROUNDS):
+        rank = "double(s) / n" if turn % 2 == 0 else f"double(xxhash64(node, {turn}))"
+        hubs = live.groupBy("key").agg(F.max(F.expr(f"struct(size, g, {rank} as rank, node, n, s)")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "h.*")
+        hubs = hubs.selectExpr("key", "g as hg", "rank", "node as b", "n as bn", "s as bs")
+        asked = live.join(hubs, "key").where("g != hg and 7 * least(s, bs) >= 3 * (n + bn)").groupBy("node").agg(F.max(F.struct("rank", "b")).alias("h"))
+        found = stored(_proven(asked.selectExpr("node as a", "h.b as b"), sets), "hub-links")
+        links = found if links is None else links.unionAll(found)
+        groups = stored(components(links, "groups"), "groups")
+        sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        of = stored(groups.join(sizes, "root").selectExpr("node", "root", "size as gs"), "group-sizes")
+        live = live.select("key", "node", "n", "s").join(of, "node", "left").selectExpr("key", "node", "n", "s", "coalesce(root, node) as g", "coalesce(gs, 1L) as size")
+        # Buckets that lie within one group are done.
+        mixed = live.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
+        live = stored(live.join(mixed, "key", "left_semi"), "live-buckets")
+    # What is left asks the other groups in its buckets, the smaller one the larger.
+    there = live.groupBy("key", "g", "size").agg(F.max("s").alias("os"), F.min("n").alias("o_n")).selectExpr("key", "g as other", "size as other_size", "os", "o_n as on_")
+    asks = live.join(there, "key").where("struct(size, g) < struct(other_size, other) and 7 * least(s, os) >= 3 * (n + on_)").select("node", "n", "s", "other", "other_size").distinct()
+    asks = stored(asks, "asks")
+    # The matrix: groups asked, in parts of bounded size, with members, the union of their tokens, and what any of them can reach.
+    wanted = asks.select("other").distinct()
+    inside = groups.selectExpr("node", "root as other").unionAll(able.select("node").join(groups, "node", "left_anti").selectExpr("node", "node as other")).join(wanted, "other", "left_semi")
+    big = inside.groupBy("other").agg(F.count(F.lit(1)).alias("c"))
+    members = inside.join(big, "other").join(able, "node").join(sets, "node").selectExpr("other", f"pmod(xxhash64(node), greatest(1L, c div {PART // 2})) as part", "node", "n", "s", "tokens")
+    matrix = members.groupBy("other", "part").agg(F.collect_list(F.struct("node", "n", "s", "tokens")).alias("members"), F.max("s").alias("ps"), F.min("n").alias("pn"))
+    matrix = stored(matrix.withColumn("all", F.expr("array_distinct(flatten(transform(members, m -> m.tokens)))")), "matrix")
+    at = asks.join(matrix.select("other", "part", "ps", "pn"), "other").where("7 * least(s, ps) >= 3 * (n + pn)").select("other", "part", "node", "n", "s")
+    many = at.groupBy("other", "part").agg(F.count(F.lit(1)).alias("c"))
+    lists = at.join(many, ["other", "part"]).join(sets, "node").selectExpr("other", "part", f"pmod(xxhash64(node, 1), greatest(1L, c div {PART // 2})) as list", "node", "n", "s", "tokens")
+    lists = lists.groupBy("other", "part", "list").agg(F.collect_list(F.struct("node", "n", "s", "tokens")).alias("qs"))
+    opened = lists.join(matrix, ["other", "part"]).select(F.expr("""flatten(transform(filter(qs, q -> 4 * size(array_intersect(q.tokens, `all`)) >= 3 * q.n),
+      q -> transform(filter(members, m -> 7 * least(q.s, m.s) >= 3 * (q.n + m.n) and 7L * size(array_intersect(q.tokens, m.tokens)) >= 3 * (q.n + m.n)), m -> struct(q.node as a, m.node as b))))""").alias("found"))
+    second = stored(opened.select(F.explode("found").alias("x")).select("x.a", "x.b"), "group-links")
+    linked = components(links.unionAll(second), "links")
     least = linked.join(nodes.select("node", "least"), "node")
     named = least.groupBy("root").agg(F.min("least").alias("component"))
     of = least.join(named, "root").select("node", F.col("component").alias("c"))
