@@ -1,6 +1,6 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host are dealt into groups of about GROUP. Within a group their block trees are aligned with one of them by simple tree matching;
+Pages of a host are dealt into groups of about GROUP. Within a group their block trees are aligned with the largest of them by simple tree matching;
 aligned blocks that say the same on both pages are constant, those that differ are slots. Counts of constants from all groups of
 a host are added, and what is constant on SHARE of its pages is the host's template; the varying slots are content. A
 hot host is therefore many small groups, whose counts a shuffle combines. Only trees of hashes are shuffled, never html.
@@ -250,11 +250,11 @@ def _constants(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         page = [Block(tuple(int(v) for v in p), "", False) for p in paths]
         t = tree(page)
         _fill(t, iter(texts))
-        trees.append(t)
+        trees.append((len(texts), t))
     seen: Counter = Counter()
     if trees:
-        model = max(trees, key=lambda t: len(t[1]))
-        for t in trees:
+        model = max(trees, key=lambda t: t[0])[1]  # the page with most blocks has a place for what the others say
+        for _, t in trees:
             pairs: list = []
             matching(model, t, pairs)
             seen.update({p for p, q in pairs if p == q})
