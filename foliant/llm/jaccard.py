@@ -125,21 +125,23 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     seen = stored(rows.mapInArrow(lambda bs: _sets(bs, True), schema), "sets")
     nodes = stored(seen.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    member = nodes.selectExpr("explode(bands) as key", "node")
-    shared = member.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    held = stored(member.join(shared.select("key"), "key").select("key", "node"), "buckets")
+    # Dealt by key once: the same exchange finds the buckets of two and more and meets them again.
+    member = nodes.selectExpr("explode(bands) as key", "node").repartition("key")
+    shared = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+    held = stored(member.join(shared, "key").select("key", "node"), "buckets")
     # Whole sets are needed only of classes that share a bucket: their texts are read again.
     needed = held.select("node").distinct().join(nodes, "node").selectExpr("node as want", "least as id")
     needed = stored(needed, "needed")
     token_schema = T.StructType([id_field, T.StructField("node", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
-    texts = rows.join(needed.selectExpr("id as want_id").distinct(), F.expr("id <=> want_id"), "left_semi")
+    # Merged whatever the size: what is needed grows with the input, so a broadcast would only do for small ones.
+    texts = rows.join(needed.selectExpr("id as want_id").distinct().hint("merge"), F.expr("id <=> want_id"), "left_semi")
     sets = texts.mapInArrow(lambda bs: _sets(bs, False), token_schema).join(needed, F.expr("node = want"), "left_semi")
     sets = stored(sets.dropDuplicates(["node"]).select("node", "tokens"), "tokens")
     # Tokens of one class alone: counted at their only owner.
     alone = sets.selectExpr("explode(tokens) as t", "node").groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
     able = sets.select("node", F.size("tokens").cast("long").alias("n")).join(alone, "node", "left").selectExpr("node", "n", "n - coalesce(u, 0L) as s").where("4 * s >= 3 * n")
     able = stored(able, "able")
-    live = stored(held.select("key", "node").join(able, "node").selectExpr("key", "node", "n", "s", "node as g", "1L as size"), "live-buckets")
+    live = stored(held.select("key", "node").join(able.hint("merge"), "node").selectExpr("key", "node", "n", "s", "node as g", "1L as size"), "live-buckets")
     links, groups = None, None
     for turn in range(ROUNDS):
         rank = "double(s) / n" if turn % 2 == 0 else f"double(xxhash64(node, {turn}))"
