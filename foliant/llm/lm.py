@@ -77,18 +77,25 @@ class Lexicon:
 def _taken_apart(batches, lexicon):
     """Rows with the classes of a text, its base score so far, and the words that the join must count."""
     lex = lexicon.value
-    known, score = lex.known, lex.score
+    known, score, crc32, xxh64 = lex.known, lex.score, zlib.crc32, xxhash.xxh64_intdigest
     for b in batches:
         for start, words in pieces(b.column("t")):
             rows = []
             for ws in words:
-                c = Counter(ws)
-                rare = [(w, n) for w, n in c.items() if w not in known]
-                base = lex.end + sum(score[w] * n for w, n in c.items() if w in known)
-                own = {w: known[w] if w in known else bucket(w) for w in c}
-                classes = np.fromiter(map(own.__getitem__, ws), dtype=np.uint16, count=len(ws))
-                rows.append((np.append(classes, np.uint16(END)).tobytes(), len(ws) + 1, len(ws) - sum(n for _, n in rare) + (lex.documents > 0), base,
-                             [word_hash(w) for w, _ in rare], [n for _, n in rare], xxhash.xxh3_64_intdigest(b"\x00".join(ws)) - 2**63))
+                own, rare, times, late, base = {}, [], [], 0, lex.end
+                for w, n in Counter(ws).items():
+                    if w in known:
+                        own[w] = known[w]
+                        base += score[w] * n
+                    else:
+                        own[w] = OWN + crc32(w[-3:]) % BUCKETS
+                        rare.append(xxh64(w, 42))
+                        times.append(n)
+                        late += n
+                classes = np.empty(len(ws) + 1, dtype=np.uint16)
+                classes[:-1] = [own[w] for w in ws]
+                classes[-1] = END
+                rows.append((classes.tobytes(), len(ws) + 1, len(ws) - late + (lex.documents > 0), base, np.array(rare, dtype=np.uint64).view(np.int64), times, xxhash.xxh3_64_intdigest(b"\x00".join(ws)) - 2**63))
             n = len(words)
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, n), b.column("held_out").slice(start, n), *cols], names=["doc_id", "held_out", "classes", "n_tokens", "n_known", "base", "rare", "times", "same"])
@@ -108,35 +115,43 @@ class Model:
         move = np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=1, keepdims=True), base)
 
-    def expected(self, x: np.ndarray, length: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts (first, move, emit) over chunks x (n, CHUNK), of which the first `length` tokens count. A chunk that does not open a text starts from the stationary mix."""
+    def expected(self, x: np.ndarray, length: np.ndarray | None, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts (first, move, emit) over chunks x (n, CHUNK). Of each the first `length` tokens count; all do where length is None.
+        A chunk that does not open a text starts from the stationary mix."""
         n, steps = x.shape
-        r = self.ratio.T
-        here = np.arange(steps)[:, None] < length[None, :]
-        alpha, scale = np.empty((steps, n, STATES)), np.empty((steps, n))
+        r = np.ascontiguousarray(self.ratio.T, dtype=np.float32)
+        moves = self.move.astype(np.float32)
+        here = None if length is None else (np.arange(steps)[:, None] < length[None, :])[:, :, None]
+        x = np.ascontiguousarray(x.T)
+        alpha, seen, scale = np.empty((steps, n, STATES), dtype=np.float32), np.empty((steps, n, STATES), dtype=np.float32), np.empty((steps, n, 1), dtype=np.float32)
         rest = np.full(STATES, 1 / STATES) @ np.linalg.matrix_power(self.move, 32)
-        a = np.where(opens[:, None], self.first, rest)
+        a = np.where(opens[:, None], self.first, rest).astype(np.float32)
         for t in range(steps):
             if t:
-                a = a @ self.move
-            a = a * np.where(here[t][:, None], r[x[:, t]], 1.0)
-            scale[t] = a.sum(axis=1)
-            a = a / scale[t][:, None]
-            alpha[t] = a
+                a = a @ moves
+            np.take(r, x[t], axis=0, out=seen[t])
+            if here is not None:
+                seen[t][~here[t, :, 0]] = 1
+            a = a * seen[t]
+            s = a @ np.ones((STATES, 1), dtype=np.float32)
+            a /= s
+            alpha[t], scale[t] = a, s
         move, emit = np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-        beta = np.ones((n, STATES))
+        beta = np.ones((n, STATES), dtype=np.float32)
         gamma = np.empty_like(alpha)
         for t in range(steps - 1, -1, -1):
-            gamma[t] = alpha[t] * beta * here[t][:, None]
+            np.multiply(alpha[t], beta, out=gamma[t])
+            if here is not None:
+                gamma[t] *= here[t]
             if t:
-                ahead = np.where(here[t][:, None], r[x[:, t]], 1.0) * beta / scale[t][:, None]
-                move += (alpha[t - 1] * here[t][:, None]).T @ ahead
-                beta = ahead @ self.move.T
+                ahead = seen[t] * beta / scale[t]
+                move += (alpha[t - 1] if here is None else alpha[t - 1] * here[t]).T @ ahead
+                beta = ahead @ moves.T
         move *= self.move
-        flat = x.T.ravel()
+        flat = x.ravel()
         for s in range(STATES):
             emit[s] = np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=CLASSES)
-        return gamma[0][opens].sum(axis=0), move, emit
+        return gamma[0][opens].sum(axis=0, dtype=np.float64), move, emit
 
     def updated(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
         """From summed counts; a little of the base in each emission keeps every class possible in every state."""
@@ -173,26 +188,31 @@ def _expected(batches, model):
     sums, used = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))], False
 
     def add(chunks, opens):
+        full = len(chunks[0]) == CHUNK
         x = np.zeros((len(chunks), CHUNK), dtype=np.int64)
         for i, c in enumerate(chunks):
             x[i, : len(c)] = c
-        for k, v in enumerate(m.expected(x, np.array([len(c) for c in chunks]), np.array(opens))):
+        for k, v in enumerate(m.expected(x, None if full else np.array([len(c) for c in chunks]), np.array(opens))):
             sums[k] += v
 
-    chunks, opens = [], []
+    # Whole chunks and last ones apart: only the last ones need masks.
+    held = {True: ([], []), False: ([], [])}
     for b in batches:
+        used = used or b.num_rows > 0
         for v in b.column("classes"):
             c = np.frombuffer(v.as_py(), dtype=np.uint16)
             for k in range(0, len(c), CHUNK):
-                chunks.append(c[k : k + CHUNK])
+                part = c[k : k + CHUNK]
+                chunks, opens = held[len(part) == CHUNK]
+                chunks.append(part)
                 opens.append(k == 0)
-            if len(chunks) >= 4096:
-                for k in range(0, len(chunks), 4096):
-                    add(chunks[k : k + 4096], opens[k : k + 4096])
-                chunks, opens, used = [], [], True
-    if chunks:
-        add(chunks, opens)
-        used = True
+                if len(chunks) == 2048:
+                    add(chunks, opens)
+                    chunks.clear()
+                    opens.clear()
+    for chunks, opens in held.values():
+        if chunks:
+            add(chunks, opens)
     if used:
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([v.ravel() for v in sums]).tolist()], pa.list_(pa.float64()))], names=["sums"])
 
@@ -213,7 +233,10 @@ def lexicon_of(docs: DataFrame) -> tuple[DataFrame, Lexicon, np.ndarray]:
     counts = stored(counts.withColumn("h", F.xxhash64("word")), "word-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     documents = docs.count()
-    top = [(bytes(x.word), x.c) for x in counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(TOP).collect()]
+    # The count that more than TOP words reach is found first, so that no more than TOP words come to the driver.
+    short = counts.where(F.octet_length("word") <= WORD_BYTES)
+    least = short.groupBy("c").agg(F.count(F.lit(1)).alias("n")).selectExpr("c", "sum(n) over (order by c desc) as upto").where(f"upto > {TOP}").agg(F.max("c")).first()[0] or 0
+    top = sorted(((bytes(x.word), x.c) for x in short.where(F.col("c") > least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
     lex = Lexicon(top, tokens + documents, types + (documents > 0), documents)
     # Base probability of the classes: what their words have, one unknown word in each bucket included.
     low = counts.selectExpr(f"pmod(crc32(substring(word, greatest(1, length(word) - 2), 3)), {BUCKETS}) as k", "c + 1 as c", "word")
