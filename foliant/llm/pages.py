@@ -1,6 +1,6 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host are dealt into groups of about GROUP. Within a group their block trees are aligned with the largest of them by simple tree matching;
+The different pages of a host are dealt into groups of about GROUP. Within a group their block trees are aligned with the largest of them by simple tree matching;
 aligned blocks that say the same on both pages are constant, those that differ are slots. Counts of constants from all groups of
 a host are added, and what is constant on SHARE of its pages is the host's template; the varying slots are content. A
 hot host is therefore many small groups, whose counts a shuffle combines. Only trees of hashes are shuffled, never html.
@@ -236,17 +236,13 @@ def _parsed(batches):
             page = blocks(x)
             paths.append([list(b.path) for b in page])
             texts.append([_hash(b.text) for b in page])
-        yield pd.DataFrame({"host": pdf["host"], "deal": pdf["deal"], "paths": paths, "texts": texts})
+        yield pd.DataFrame({"host": pdf["host"], "paths": paths, "texts": texts})
 
 
 def _constants(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Aligns a group's pages with one of them; counts on how many each block of it is constant."""
-    pages = {}
-    for paths, texts in zip(pdf["paths"], pdf["texts"]):
-        pages.setdefault(tuple(texts), paths)  # copies count once
-    pages = [(t, pages[t]) for t in sorted(pages)]
     trees = []
-    for texts, paths in pages:
+    for texts, paths in sorted(zip(map(tuple, pdf["texts"]), pdf["paths"]), key=lambda x: x[0]):
         page = [Block(tuple(int(v) for v in p), "", False) for p in paths]
         t = tree(page)
         _fill(t, iter(texts))
@@ -278,10 +274,12 @@ def _fill(t: tuple, said) -> None:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, constants): the (place, text) hashes of each host's template blocks; fewer than a few pages' blocks."""
-    rows = pages.selectExpr(f"{_host('coalesce(url, cast(null as string))')} as host", "xxhash64(page_id, url) as deal", "html").selectExpr("coalesce(host, '') as host", "deal", "html")
-    sizes = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-pages").selectExpr("host as of_host", "n as of_n")
-    trees = rows.mapInPandas(_parsed, "host string, deal long, paths array<array<long>>, texts array<long>")
-    dealt = trees.join(sizes, F.expr("host = of_host")).selectExpr("host", f"pmod(deal, greatest(1, of_n div {GROUP})) as g", "paths", "texts")
+    rows = pages.selectExpr(f"coalesce({_host('url')}, '') as host", "html")
+    trees = rows.mapInPandas(_parsed, "host string, paths array<array<long>>, texts array<long>")
+    # Copies count once on the whole host, so they become one page before pages are dealt.
+    trees = stored(trees.groupBy("host", "texts").agg(F.min("paths").alias("paths")), "page-trees")
+    sizes = stored(trees.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-pages").selectExpr("host as of_host", "n as of_n")
+    dealt = trees.join(sizes, F.expr("host = of_host")).selectExpr("host", f"pmod(xxhash64(texts), greatest(1, of_n div {GROUP})) as g", "paths", "texts")
     counted = dealt.groupBy("host", "g").applyInPandas(_constants, "host string, place long, said long, n long, pages long")
     summed = counted.groupBy("host", "place", "said").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
     summed = stored(summed, "host-constants")

@@ -218,6 +218,13 @@ def test_articles_without_template(spark):
     assert got[24].text == got[0].text and got[3].n_chars == len(got[3].text)
 
 
+def test_copies_on_many_groups_are_no_template(spark):
+    one = page("h.com", "The title", "Body of it")
+    rows = [(i, "http://h.com/a" if i % 2 else f"http://h.com/{i}", one) for i in range(400)] + [(900 + i, None, one) for i in range(300)]
+    got = Counter(r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == {"The title Body of it Second & more The title Read our rules.": 700}
+
+
 def test_tree_matching():
     leaf = lambda p, t: (1, (p, t))
     a, b = (0, [(5, [leaf(1, 1)]), (6, [leaf(2, 2), leaf(2, 3)])]), (0, [(6, [leaf(2, 3)]), (5, [leaf(1, 1)]), (6, [leaf(2, 9)])])
