@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-grams of the test items are seeds that meet the training texts; around them, Smith-Waterman
 alignment of words scores exact, edited and paraphrased copies.
 
-An n-gram is rare if at most RARE_ITEMS items have it. Seeds of one item that lie close together in a text span a window;
+An n-gram is rare if at most RARE_ITEMS of all items have it; items that say the same words are one item with several ids. An item without any rare
+n-gram has its rarest ones as seeds, so every item can be found. Seeds of one item that lie close together in a text span a window;
 the item is aligned with the window (match +2, mismatch and gap -1) and the score is the best local alignment over that of a
 perfect copy. Each window is aligned, none is dropped for its rank.
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
 from .tokens import ends, pieces
 
 N = 3
@@ -38,11 +40,11 @@ TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 class Index:
-    """Words and rare seeds of a block of items."""
+    """Words and seeds of a block of items, each (its ids, its words, the positions of its seeds)."""
 
-    def __init__(self, items: list[tuple[object, bytes]]):
-        self.ids = [i for i, _ in items]
-        words = [t.translate(TABLE).split() for _, t in items]
+    def __init__(self, items: list[tuple[list, bytes, list[int]]]):
+        self.ids = [i for i, _, _ in items]
+        words = [t.split() for _, t, _ in items]
         self.vocabulary: dict[bytes, int] = {}
         self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], dtype=np.int64) for ws in words]
         self.base = len(self.vocabulary) + 1
@@ -51,11 +53,11 @@ class Index:
         for k, ws in enumerate(self.items):
             if 0 < len(ws) < N:
                 self.short[len(ws)].append(k)
-            for p, g in enumerate(self.grams(ws).tolist()):
-                grams[g].append((k, p))
-        rare = {g: at for g, at in grams.items() if len({k for k, _ in at}) <= RARE_ITEMS}
-        self.keys = np.array(sorted(rare), dtype=np.int64)
-        self.places = [rare[g] for g in self.keys.tolist()]
+            own = self.grams(ws).tolist()
+            for p in items[k][2]:
+                grams[own[p]].append((k, p))
+        self.keys = np.array(sorted(grams), dtype=np.int64)
+        self.places = [grams[g] for g in self.keys.tolist()]
         n = Counter(k for at in self.places for k, _ in at)
         self.need = [max(1, min(LEAST_SEEDS, n[k] // 4)) for k in range(len(items))]
 
@@ -136,15 +138,27 @@ def scan(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, int,
                         yield start + r, k, 1.0, int(found[0]), int(found[0]) + n
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
-    """The items, a block at a time; the driver holds one block and one partition of them."""
+def seeded(benchmark: DataFrame) -> DataFrame:
+    """(words, ids, seeds): each different item, its words in one line, the ids that have it, and the positions of its seeds; rarity is over all items."""
+    said = benchmark.selectExpr("item_id", r"trim(regexp_replace(lower(text), '[\\x00-/:-@\\[-`{-\\x7F]+', ' ')) as words").where("words != ''")
+    items = stored(said.groupBy("words").agg(F.collect_list(F.struct("item_id")).alias("ids")), "items")
+    runs = items.selectExpr("words", "split(words, ' ') as ws").selectExpr("words", f"if(size(ws) < {N}, array(), transform(sequence(0, greatest(0, size(ws) - {N})), p -> xxhash64(slice(ws, p + 1, {N})))) as grams")
+    common = runs.selectExpr("explode(array_distinct(grams)) as g").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    placed = runs.selectExpr("words", "posexplode(grams) as (p, g)").join(common, "g").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("c", "p"))).alias("all"))
+    seeds = placed.selectExpr("words", f"if(all[0].c <= {RARE_ITEMS}, filter(all, x -> x.c <= {RARE_ITEMS}), slice(all, 1, {4 * LEAST_SEEDS})).p as seeds")
+    return stored(items.join(seeds, "words", "left").selectExpr("words", "ids", "coalesce(seeds, array()) as seeds"), "seeded-items")
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[list, bytes, list[int]]]]:
+    """The different items, a block at a time; the driver holds one block and one partition of them."""
     held, size = [], 0
-    for x in benchmark.select("item_id", F.lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary").alias("t")).toLocalIterator():
-        if held and size + len(x.t) > BLOCK_BYTES:
+    for x in seeded(benchmark).toLocalIterator():
+        t = x.words.encode()
+        if held and size + len(t) > BLOCK_BYTES:
             yield held
             held, size = [], 0
-        held.append((x.item_id, bytes(x.t)))
-        size += len(x.t)
+        held.append(([i.item_id for i in x.ids], t, x.seeds))
+        size += len(t)
     if held:
         yield held
 
@@ -160,9 +174,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, index=index):
             for b in batches:
-                hits = list(scan(index.value, b.column("t")))
+                hits = [(h[0], i, *h[2:]) for h in scan(index.value, b.column("t")) for i in index.value.ids[h[1]]]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64())), pa.array([index.value.ids[h[1]] for h in hits], items), *(pa.array([h[i] for h in hits], t) for i, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
+                    [b.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], items), *(pa.array([h[i] for h in hits], t) for i, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
                     names=["doc_id", "item_id", "score", "begin", "end"],
                 )
 

@@ -134,6 +134,21 @@ def test_benchmark_in_blocks(spark, benchmark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontam.matches(df, table).collect()} == whole
 
 
+def test_items_whose_words_are_common_are_found(spark, monkeypatch):
+    same, shared = prose(810, 30), prose(811, 30)
+    items = [(k, same if k % 2 else same.upper() + "!") for k in range(20)] + [(100 + k, " ".join(shared.split()[k % 3 :])) for k in range(3)]
+    pair = prose(812, 40).split()
+    items += [(200 + k, " ".join(pair[:20] if k % 2 else pair[:21])) for k in range(12)]
+    items += [(300 + k, " ".join(pair[: 22 + k])) for k in range(15)]  # the first item's n-grams are in all of them
+    table = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(0, prose(910, 50) + " " + same + " " + prose(911, 50)), (1, " ".join(pair[:20])), (2, prose(912, 80))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(df, table).collect()}
+    assert {i for d, i in got if d == 0} == set(range(20)) and {i for d, i in got if d == 1} >= set(range(200, 212)) and not {i for d, i in got if d == 2}
+    assert {r.doc_id for r in decontam.clean(df, table).collect()} == {2}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
+    assert {(r.doc_id, r.item_id) for r in decontam.matches(df, table).collect()} == got
+
+
 def test_lm_counts_are_exact_and_beat_the_base(docs, rows, empty):
     got = lm.scored(docs, 4).collect()
     assert len(got) == len(rows)
