@@ -19,7 +19,9 @@ import html as references
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +32,10 @@ from .urls import _host
 GROUP = 32
 #: Of the different pages of a host, the part on which a block is constant if it is template, and how many pages it takes.
 SHARE, LEAST = 0.8, 4
-#: Children of one element that are aligned with one another at most in one table; longer lists are cut where both agree or else in order.
-WIDE = 64
+#: What an equal leaf scores: more than all pairs of nodes together.
+EQUAL = 2**32
+#: Lists of children up to this product of lengths are aligned in one table, longer ones in rows of it.
+SMALL = 4096
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
@@ -188,44 +192,167 @@ def tree(page: list[Block]) -> tuple:
     return root
 
 
-def matching(a: tuple, b: tuple, pairs: list | None = None) -> int:
-    """Simple tree matching: the most pairs of nodes with equal labels that keep order and ancestry. pairs gets the leaves so matched."""
-    if a[0] != b[0]:
-        return 0
-    if isinstance(a[1], tuple) or isinstance(b[1], tuple):
-        if isinstance(a[1], tuple) and isinstance(b[1], tuple):
-            if pairs is not None:
-                pairs.append((a[1], b[1]))
-            return 1
-        return 0
-    total = 1
-    x, y = a[1], b[1]
-    while x or y:  # long lists piece by piece: the table stays small
-        total += _aligned(x[:WIDE], y[:WIDE], pairs)
-        x, y = x[WIDE:], y[WIDE:]
-    return total
-
-
-def _aligned(x: list, y: list, pairs: list | None) -> int:
-    if not x or not y:
-        return 0
-    n, m = len(x), len(y)
-    score = [[matching(p, q) for q in y] for p in x]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + score[i - 1][j - 1])
-    if pairs is not None:
-        i, j = n, m
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
+class Matching:
+    """Simple tree matching of two block trees: of the pairs of nodes with equal labels that keep order and ancestry, those with the most leaves
+    that are equal and, of these, the most pairs. Scores are EQUAL for each equal leaf and 1 for each pair.
+
+    Subtrees become kinds: leaves that only one tree has are all one kind, so like siblings are scored once. Kinds that share no leaf score by shape.
+    """
+
+    def __init__(self, a: tuple, b: tuple):
+        self.common = _leaves(a) & _leaves(b)
+        self.number: dict[tuple, int] = {}
+        self.label: list[int] = []
+        self.kids: list[tuple[int, ...] | None] = []
+        self.keys: list[frozenset] = []  # leaves below that both trees have
+        self.bare: list[int] = []  # the kind of the same shape without them
+        self.whole: list[int] = []  # score with itself if both trees have all its leaves, else 0
+        self.held: dict[tuple[int, int], int] = {}
+        self.a, self.b = self.placed(a), self.placed(b)
+
+    def kind(self, label: int, said: tuple | None, kids: tuple[int, ...] | None) -> int:
+        if (k := self.number.get((label, said, kids))) is None:
+            bare = None
+            if said is not None:
+                bare = self.kind(label, None, None)
+            elif kids and any(self.bare[x] != x for x in kids):
+                bare = self.kind(label, None, tuple(self.bare[x] for x in kids))
+            k = self.number[label, said, kids] = len(self.label)
+            self.label.append(label)
+            self.kids.append(kids)
+            self.keys.append(frozenset([said]) if said else frozenset().union(*(self.keys[x] for x in kids or ())))
+            self.bare.append(k if bare is None else bare)
+            parts = [self.whole[x] for x in kids or ()]
+            self.whole.append(EQUAL + 1 if said else 1 + sum(parts) if kids and all(parts) else 0)
+        return k
+
+    def placed(self, t: tuple) -> tuple:
+        """(kind, what a leaf says, placed children) for each node, children first."""
+        stack: list[tuple[tuple, list]] = [(t, [])]
+        while True:
+            node, done = stack[-1]
+            if isinstance(node[1], tuple):
+                out = (self.kind(node[0], node[1] if node[1] in self.common else None, None), node[1], None)
+            elif len(done) < len(node[1]):
+                stack.append((node[1][len(done)], []))
+                continue
             else:
-                matching(x[i - 1], y[j - 1], pairs)
-                i, j = i - 1, j - 1
-    return best[n][m]
+                out = (self.kind(node[0], None, tuple(x[0] for x in done)), None, done)
+            stack.pop()
+            if not stack:
+                return out
+            stack[-1][1].append(out)
+
+    def score(self, x: int, y: int) -> int:
+        if self.label[x] != self.label[y]:
+            return 0
+        if x == y and self.whole[x]:
+            return self.whole[x]
+        if self.kids[x] is None or self.kids[y] is None:
+            return int(self.kids[x] is self.kids[y])
+        if self.keys[x].isdisjoint(self.keys[y]):
+            x, y = self.bare[x], self.bare[y]
+        if (s := self.held.get((x, y))) is None:
+            s = self.held[x, y] = 1 + int(self.rows(self.kids[x], self.kids[y])[-1])
+        return s
+
+    def rows(self, x: Sequence[int], y: Sequence[int]) -> Sequence[int]:
+        """The best score of all of x with each beginning of y; a row of the table at a time."""
+        if len(x) * len(y) <= SMALL:
+            row = [0] * (len(y) + 1)
+            for p in x:
+                before, row = row, [0]
+                for j, q in enumerate(y):
+                    row.append(max(before[j + 1], row[j], before[j] + self.score(p, q)))
+            return row
+        kinds, place = np.unique(np.array(y), return_inverse=True)
+        shapes, shape = np.unique([self.bare[q] for q in kinds], return_inverse=True)
+        kinds, shapes = kinds.tolist(), shapes.tolist()
+        having: dict[tuple, list[int]] = {}
+        for j, q in enumerate(kinds):
+            for key in self.keys[q]:
+                having.setdefault(key, []).append(j)
+        by_shape: dict[int, np.ndarray] = {}
+        best = np.zeros(len(y) + 1, dtype=np.int64)
+        for p in x:
+            if (v := by_shape.get(self.bare[p])) is None:
+                v = by_shape[self.bare[p]] = np.array([self.score(self.bare[p], q) for q in shapes], dtype=np.int64)
+            v = v[shape]
+            for j in {j for key in self.keys[p] for j in having.get(key, ())}:
+                v[j] = self.score(p, kinds[j])
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + v[place]))
+        return best
+
+    def aligned(self, x: list, y: list) -> Iterator[tuple[tuple, tuple]]:
+        """The pairs of the best alignment of two lists of placed nodes, in memory linear in their lengths."""
+        i, j, n, m = 0, 0, len(x), len(y)
+        while i < n and j < m and x[i][0] == y[j][0] and self.whole[x[i][0]]:  # what begins or ends alike belongs together
+            yield x[i], y[j]
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1][0] == y[m - 1][0] and self.whole[x[n - 1][0]]:
+            n, m = n - 1, m - 1
+            yield x[n], y[m]
+        x, y = x[i:n], y[j:m]
+        if not x or not y:
+            return
+        p, q = [v[0] for v in x], [v[0] for v in y]
+        if len(x) == 1:
+            scores = [self.score(p[0], k) for k in q]
+            if best := max(scores):
+                yield x[0], y[scores.index(best)]
+        elif len(x) * len(y) <= SMALL:
+            table = [[0] * (len(y) + 1)]
+            for k in p:
+                before, row = table[-1], [0]
+                for j, l in enumerate(q):
+                    row.append(max(before[j + 1], row[j], before[j] + self.score(k, l)))
+                table.append(row)
+            i, j = len(x), len(y)
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield x[i], y[j]
+        else:
+            half = len(x) // 2
+            # A list from its end scores as from its beginning, with the children of each element in their own order.
+            both = np.asarray(self.rows(p[:half], q)) + np.asarray(self.rows(p[half:][::-1], q[::-1]))[::-1]
+            cut = int(both.argmax())
+            yield from self.aligned(x[:half], y[:cut])
+            yield from self.aligned(x[half:], y[cut:])
+
+    def leaves(self) -> Iterator[tuple[tuple, tuple]]:
+        """The pairs of leaves."""
+        stack = [(self.a, self.b)]
+        while stack:
+            p, q = stack.pop()
+            if p[2] is None:
+                yield p[1], q[1]
+            else:
+                stack.extend(self.aligned(p[2], q[2]))
+
+
+def _leaves(t: tuple) -> set[tuple]:
+    found, stack = set(), [t]
+    while stack:
+        node = stack.pop()
+        if isinstance(node[1], tuple):
+            found.add(node[1])
+        else:
+            stack.extend(node[1])
+    return found
+
+
+def matching(a: tuple, b: tuple, pairs: list | None = None) -> int:
+    """The number of pairs that Matching finds. pairs gets the leaves so matched."""
+    m = Matching(a, b)
+    score = m.score(m.a[0], m.b[0])
+    if score and pairs is not None:
+        pairs.extend(m.leaves())
+    return score % EQUAL
 
 
 def _parsed(batches):

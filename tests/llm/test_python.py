@@ -245,3 +245,24 @@ def test_tree_matching():
     a, b = (0, [(5, [leaf(1, 1)]), (6, [leaf(2, 2), leaf(2, 3)])]), (0, [(6, [leaf(2, 3)]), (5, [leaf(1, 1)]), (6, [leaf(2, 9)])])
     pairs = []
     assert pages.matching(a, b, pairs) == 5 and (1, 1) in [p for p, _ in pairs]
+
+
+def test_template_behind_like_siblings(spark):
+    def brute(x, y):  # the most equal leaves of two lists
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (p == q))
+        return best[-1][-1]
+
+    draw = np.random.default_rng(5)
+    for n, m, words in [(13, 6, 40), (150, 90, 60), (400, 300, 5000), (3, 200, 9), (70, 70, 3)]:
+        x, y = draw.integers(1, words, n).tolist(), draw.integers(1, words, m).tolist()
+        trees = [(0, [(5, [(1, (2, t))]) for t in texts]) for texts in (x, y)]
+        pairs = []
+        assert pages.matching(*trees, pairs) == 1 + 2 * len(pairs)
+        assert sum(p == q for p, q in pairs) == brute(x, y)
+    ends = lambda i: "".join(f"<p>Text {i} {k}</p>" for k in range(5 + 23 * (i % 7))) + "<p>Written by us.</p><p>All rights kept.</p>"
+    rows = [(i, f"http://h.com/{i}", f"<body>{ends(i)}</body>") for i in range(20)]
+    got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"Text {i} {k}" for k in range(5 + 23 * (i % 7))) for i in range(20)}
