@@ -22,9 +22,8 @@ from .common import stored
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
 THRESHOLD = 0.5
-#: Ranks are done when all of them together move by less.
+#: Ranks are done when no host's score can move by more, however many rounds would follow.
 CLOSE = 1e-4
-ROUNDS = 40
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,7 +65,7 @@ def spread(hosts: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
         return hosts.selectExpr("host", f"double({seed}) as score")
     base = stored(hosts.selectExpr("host as h", f"{seed} / {total!r}D as s"), "rank-seeds")
     ranks = base.selectExpr("h", "s", "s as rank")
-    for _ in range(ROUNDS):
+    while True:
         flow = weights.join(ranks.selectExpr("h as src", "rank"), "src").groupBy("dst").agg(F.sum(F.expr("w * rank")).alias("got"))
         moved = stored(base.join(flow, F.expr("h = dst"), "left").selectExpr("h", "s", f"{DAMPING} * coalesce(got, 0D) as got"), "rank-flow")
         # What was not passed on, the jumps and the dangling mass, returns to the seeds.
@@ -74,7 +73,8 @@ def spread(hosts: DataFrame, edges: DataFrame, seed: str) -> DataFrame:
         after = moved.selectExpr("h", "s", f"got + s * {back!r}D as rank")
         change = after.join(ranks.selectExpr("h as h0", "rank as r0"), F.expr("h = h0")).agg(F.sum(F.expr("abs(rank - r0)"))).first()[0]
         ranks = after
-        if change < CLOSE:
+        # The changes of all hosts together shrink by DAMPING a round at least, so this bounds, in units of scores, what all rounds to come can do to one host.
+        if change * total * DAMPING / (1 - DAMPING) < CLOSE:
             break
     return ranks.selectExpr("h as host", f"rank * {total!r}D as score")
 

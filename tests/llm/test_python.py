@@ -216,6 +216,14 @@ def test_distrust_spreads_against_links(spark):
     assert got["bad.net"].blocked and not got["good.org"].blocked and not got["alone.com"].blocked
 
 
+def test_distrust_does_not_hang_on_unrelated_hosts(spark):
+    chain = [(1, "http://x.com/", "<a href='http://bad.net/'>b</a>"), (2, "http://y.com/", "<a href='http://x.com/'>x</a>"), (3, "http://bad.net/", "")]
+    others = spark.range(10, 30010).selectExpr("id as page_id", "concat('http://h', id, '.net/') as url", "'' as html")
+    got = {r.host: r for r in urls.host_verdicts(spark.createDataFrame(chain, "page_id long, url string, html string").unionAll(others)).where("host in ('x.com', 'y.com')").collect()}
+    assert got["x.com"].blocked and got["y.com"].blocked
+    assert (got["x.com"].distrust, got["y.com"].distrust) == pytest.approx((0.85, 0.7225), abs=1e-3)
+
+
 def page(host, title, body, extra=""):
     return (
         f"<html><head><title>{title}</title><script>var a='</p>';</script></head><body><nav><a href='/x'>Menu {title}</a></nav><div class='ad'>Buy {title}</div>"
