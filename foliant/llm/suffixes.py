@@ -104,22 +104,25 @@ def _anchored(batches):
 
 
 def _refined(contexts: DataFrame) -> DataFrame:
-    """(k1, k2, at, ds) of open contexts: the offsets before an anchor at which strings begin that another context has, too."""
-    live = contexts.selectExpr("k1", "k2", "at", "at - lo as off", "at - hi as least", "open", "text", f"array(struct(0 as d, h as id)) as live")
+    """(k1, k2, at, lo, ds) of open contexts: the offsets before an anchor at which strings begin that another context has, too.
+
+    A strip's edge gives its anchor two ranges, so a context is known by its anchor and the start of its range.
+    """
+    live = contexts.selectExpr("k1", "k2", "at", "lo", "at - lo as off", "at - hi as least", "open", "text", f"array(struct(0 as d, h as id)) as live")
     size = 256
     for level in LEVELS:
         children = f"transform(sequence(x.d, x.d + {size - level}, {level}), d -> struct(d as d, x.id as id))"
-        parts = live.selectExpr("k1", "k2", "at", "off", "least", "open", "text", "explode(live) as x").selectExpr("k1", "k2", "at", "off", "least", "open", "text", f"explode({children}) as c")
+        parts = live.selectExpr("k1", "k2", "at", "lo", "off", "least", "open", "text", "explode(live) as x").selectExpr("k1", "k2", "at", "lo", "off", "least", "open", "text", f"explode({children}) as c")
         parts = parts.where(f"c.d <= off and c.d + {level - 1} >= least")
-        parts = stored(parts.selectExpr("k1", "k2", "at", "open", "c.d as d", f"xxhash64(c.id, c.d, substring(text, off - c.d + 1, {LENGTH - level + 1})) as id"), "suffix-parts")
+        parts = stored(parts.selectExpr("k1", "k2", "at", "lo", "open", "c.d as d", f"xxhash64(c.id, c.d, substring(text, off - c.d + 1, {LENGTH - level + 1})) as id"), "suffix-parts")
         # Parts of buckets with one that is open, and another one.
         shared = parts.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("any")).where("c > 1 and any").select("id")
         kept = parts.join(shared, "id")
         size = level
         if level == 1:
-            return kept.where("open").groupBy("k1", "k2", "at").agg(F.array_sort(F.collect_list("d")).alias("ds"))
-        kept = kept.groupBy("k1", "k2", "at").agg(F.collect_list(F.struct("d", "id")).alias("live"))
-        live = stored(live.drop("live").join(kept, ["k1", "k2", "at"]), "suffix-live")
+            return kept.where("open").groupBy("k1", "k2", "at", "lo").agg(F.array_sort(F.collect_list("d")).alias("ds"))
+        kept = kept.groupBy("k1", "k2", "at", "lo").agg(F.collect_list(F.struct("d", "id")).alias("live"))
+        live = stored(live.drop("live").join(kept, ["k1", "k2", "at", "lo"]), "suffix-live")
 
 
 def _spans(sure: list[dict] | None, more: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -173,7 +176,7 @@ def cut(docs: DataFrame, whole: bool = True) -> DataFrame:
         "if(l1 is null, sha2(t, 256), null) as sha", "if(l1 is null, t, null) as kept" if whole else "cast(null as binary) as kept")
     met = stored(met, "met")
     near = met.where("size(contexts) > 0").selectExpr("k1", "k2", "t", "inline(contexts)").selectExpr("k1", "k2", "at", "lo", "hi", "h", "open", f"substring(t, lo + 1, hi - lo + {LENGTH}) as text")
-    near = stored(near.dropDuplicates(["k1", "k2", "at"]), "contexts")
+    near = stored(near.dropDuplicates(["k1", "k2", "at", "lo"]), "contexts")
     refined = _refined(near).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "ds")).alias("more")).selectExpr("k1 as r1", "k2 as r2", "more")
     touched = met.where("t is not null").join(refined, F.expr("k1 = r1 and k2 = r2"), "left").select("id", "t", "sure", "more")
     id_type = docs.schema["id"].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -40,6 +41,18 @@ def test_anchors_do_not_depend_on_strips(monkeypatch):
     assert one == {int(f) for f in suffixes.anchors(text)[0]}
 
 
+def test_repeats_across_strips_are_removed(spark):
+    draw = random.Random(8)
+    passages = [draw.randbytes(n // 2).hex() for n in (400, 420, 500, 600, 560, 480)]
+    large = ""
+    for k, p in enumerate(passages):  # each lies around the edge of a strip
+        start = (k + 1) * suffixes.STRIP - (1, 419, 250, 300, 480, 240)[k]
+        large += draw.randbytes(start).hex()[: start - len(large) - 1] + "<" + p + ">"
+    rows = [(0, large)] + [(k + 1, draw.randbytes(300).hex() + "[" + p + "]" + draw.randbytes(300).hex()) for k, p in enumerate(passages)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (sum(map(len, passages)), 6)} | {k + 1: (len(p), 1) for k, p in enumerate(passages)}
+
+
 def brute_components(rows):
     sets = []
     for i, t, _, _ in rows:
