@@ -2,15 +2,16 @@
 
 The base model is add-one unigram counts of all training documents. The hidden Markov model refines it: states emit classes of words, a class
 emits its words by the base model, so log10 P(text) = base score + log10 of the forward likelihood of the classes relative to
-their base probabilities. Classes: the OWN most frequent words and the end have one each, other words share BUCKETS by their last
-bytes. Any word has a class, so held-out texts need no vocabulary on the workers.
+their base probabilities. Classes: the most frequent words and the end have one each, other words share BUCKETS by their last
+bytes. How many words have their own grows with the vocabulary: OWN_ROOT times its square root, and OWN at least. Any word has a class,
+so held-out texts need no vocabulary on the workers.
 
 Training is Baum-Welch: each partition adds up expected counts over its documents, a shuffle adds up the partitions', and only those
-sums, states x classes numbers whatever the corpus, reach the driver between iterations. It reads every training document, in chunks of CHUNK
+sums, states x classes numbers, reach the driver between iterations. It reads every training document, in chunks of CHUNK
 tokens. Scoring runs the scaled forward recursion through whole texts.
 
-Counts of words stay in a table. Words among the TOP most frequent are scored where the text is read (a broadcast of at most TOP
-words of at most WORD_BYTES bytes), all others by a join on the word's hash.
+Counts of words stay in a table. Words among the TOP most frequent, or all with an own class if those are more, are scored where the text is read (a broadcast
+of words of at most WORD_BYTES bytes), all others by a join on the word's hash.
 
 Defined results: a null or empty text has one token, its end; a null id counts as empty text when its checksum is taken; rows that repeat train
 and score each; without training documents all words are unknown and the model is the base; an empty table gives an empty result.
@@ -18,6 +19,7 @@ and score each; without training documents all words are unknown and the model i
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 
@@ -33,8 +35,10 @@ from .tokens import pieces
 
 STATES, ITERATIONS = 6, 8
 OWN, BUCKETS = 767, 256
+#: Words with a class of their own, for each unit of the square root of the vocabulary.
+OWN_ROOT = 8
+#: Classes of a small vocabulary.
 CLASSES = OWN + BUCKETS + 1
-END = CLASSES - 1
 TOP, WORD_BYTES = 32768, 64
 CHUNK = 64
 HELD_OUT = 2
@@ -50,8 +54,13 @@ def word_hash(word: bytes) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def bucket(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-3:]) % BUCKETS
+def own_words(types: int) -> int:
+    """How many words of a vocabulary have a class of their own."""
+    return max(OWN, OWN_ROOT * math.isqrt(types))
+
+
+def class_type(classes: int) -> type:
+    return np.uint16 if classes <= 2**16 else np.uint32
 
 
 def _counted(batches):
@@ -67,17 +76,22 @@ class Lexicon:
     """The most frequent words with their counts and classes, and the sizes of the training corpus."""
 
     def __init__(self, top: list[tuple[bytes, int]], tokens: int, types: int, documents: int):
-        self.known = {w: (i if i < OWN else bucket(w)) for i, (w, _) in enumerate(top)}
+        self.own = own_words(types)
+        self.classes = self.own + BUCKETS + 1
+        self.known = {w: (i if i < self.own else self.bucket(w)) for i, (w, _) in enumerate(top)}
         self.tokens, self.types, self.documents = tokens, types, documents
         self.total = np.log10(tokens + types + 1)
         self.score = {w: float(np.log10(c + 1) - self.total) for w, c in top}
         self.end = float(np.log10(documents + 1) - self.total)
 
+    def bucket(self, word: bytes) -> int:
+        return self.own + zlib.crc32(word[-3:]) % BUCKETS
+
 
 def _taken_apart(batches, lexicon):
     """Rows with the classes of a text, its base score so far, and the words that the join must count."""
     lex = lexicon.value
-    known, score, crc32, xxh64 = lex.known, lex.score, zlib.crc32, xxhash.xxh64_intdigest
+    known, score, first, crc32, xxh64 = lex.known, lex.score, lex.own, zlib.crc32, xxhash.xxh64_intdigest
     for b in batches:
         for start, words in pieces(b.column("t")):
             rows = []
@@ -88,13 +102,13 @@ def _taken_apart(batches, lexicon):
                         own[w] = known[w]
                         base += score[w] * n
                     else:
-                        own[w] = OWN + crc32(w[-3:]) % BUCKETS
+                        own[w] = first + crc32(w[-3:]) % BUCKETS
                         rare.append(xxh64(w, 42))
                         times.append(n)
                         late += n
-                classes = np.empty(len(ws) + 1, dtype=np.uint16)
+                classes = np.empty(len(ws) + 1, dtype=class_type(lex.classes))
                 classes[:-1] = [own[w] for w in ws]
-                classes[-1] = END
+                classes[-1] = lex.classes - 1
                 rows.append((classes.tobytes(), len(ws) + 1, len(ws) - late + (lex.documents > 0), base, np.array(rare, dtype=np.uint64).view(np.int64), times, xxhash.xxh3_64_intdigest(b"\x00".join(ws)) - 2**63))
             n = len(words)
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()))]
@@ -102,7 +116,7 @@ def _taken_apart(batches, lexicon):
 
 
 class Model:
-    """first (S), move (S, S) and ratio (S, CLASSES): a state's emission of a class over the class's base probability."""
+    """first (S), move (S, S) and ratio (S, classes): a state's emission of a class over the class's base probability."""
 
     def __init__(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray, base: np.ndarray):
         self.first, self.move, self.emit, self.base = first, move, emit, base
@@ -111,7 +125,7 @@ class Model:
     @classmethod
     def start(cls, base: np.ndarray) -> Model:
         draw = np.random.Generator(np.random.PCG64(7))
-        emit = base * draw.gamma(2.0, 0.5, (STATES, CLASSES))
+        emit = base * draw.gamma(2.0, 0.5, (STATES, len(base)))
         move = np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=1, keepdims=True), base)
 
@@ -136,7 +150,7 @@ class Model:
             s = a @ np.ones((STATES, 1), dtype=np.float32)
             a /= s
             alpha[t], scale[t] = a, s
-        move, emit = np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
+        move, emit = np.zeros((STATES, STATES)), np.zeros((STATES, len(self.base)))
         beta = np.ones((n, STATES), dtype=np.float32)
         gamma = np.empty_like(alpha)
         for t in range(steps - 1, -1, -1):
@@ -150,7 +164,7 @@ class Model:
         move *= self.move
         flat = x.ravel()
         for s in range(STATES):
-            emit[s] = np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=CLASSES)
+            emit[s] = np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=len(self.base))
         return gamma[0][opens].sum(axis=0, dtype=np.float64), move, emit
 
     def updated(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
@@ -185,7 +199,7 @@ class Model:
 def _expected(batches, model):
     """One row of summed counts for a partition."""
     m = model.value
-    sums, used = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))], False
+    sums, used = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, len(m.base)))], False
 
     def add(chunks, opens):
         full = len(chunks[0]) == CHUNK
@@ -200,7 +214,7 @@ def _expected(batches, model):
     for b in batches:
         used = used or b.num_rows > 0
         for v in b.column("classes"):
-            c = np.frombuffer(v.as_py(), dtype=np.uint16)
+            c = np.frombuffer(v.as_py(), dtype=class_type(len(m.base)))
             for k in range(0, len(c), CHUNK):
                 part = c[k : k + CHUNK]
                 chunks, opens = held[len(part) == CHUNK]
@@ -223,7 +237,7 @@ def _forward(batches, model):
         names = [n for n in b.schema.names if n != "classes"]
         for k in range(0, b.num_rows, 2048):
             part = b.slice(k, 2048)
-            gain = m.log10([np.frombuffer(v.as_py(), dtype=np.uint16) for v in part.column("classes")])
+            gain = m.log10([np.frombuffer(v.as_py(), dtype=class_type(len(m.base))) for v in part.column("classes")])
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(gain)], names=[*names, "gain"])
 
 
@@ -233,22 +247,24 @@ def lexicon_of(docs: DataFrame) -> tuple[DataFrame, Lexicon, np.ndarray]:
     counts = stored(counts.withColumn("h", F.xxhash64("word")), "word-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     documents = docs.count()
-    # The count that more than TOP words reach is found first, so that no more than TOP words come to the driver.
+    types_all = types + (documents > 0)
+    most = max(TOP, own_words(types_all))
+    # The count that more than `most` words reach is found first, so that no more words come to the driver.
     short = counts.where(F.octet_length("word") <= WORD_BYTES)
-    least = short.groupBy("c").agg(F.count(F.lit(1)).alias("n")).selectExpr("c", "sum(n) over (order by c desc) as upto").where(f"upto > {TOP}").agg(F.max("c")).first()[0] or 0
+    least = short.groupBy("c").agg(F.count(F.lit(1)).alias("n")).selectExpr("c", "sum(n) over (order by c desc) as upto").where(f"upto > {most}").agg(F.max("c")).first()[0] or 0
     top = sorted(((bytes(x.word), x.c) for x in short.where(F.col("c") > least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
-    lex = Lexicon(top, tokens + documents, types + (documents > 0), documents)
+    lex = Lexicon(top, tokens + documents, types_all, documents)
     # Base probability of the classes: what their words have, one unknown word in each bucket included.
     low = counts.selectExpr(f"pmod(crc32(substring(word, greatest(1, length(word) - 2), 3)), {BUCKETS}) as k", "c + 1 as c", "word")
     shared = {r.k: r.c for r in low.groupBy("k").agg(F.sum("c").alias("c")).collect()}
-    base = np.ones(CLASSES)
-    for i, (_, c) in enumerate(top[:OWN]):
+    base = np.ones(lex.classes)
+    for i, (_, c) in enumerate(top[: lex.own]):
         base[i] += c
     for k in range(BUCKETS):
-        base[OWN + k] += shared.get(k, 0)
-    for w, c in top[:OWN]:
-        base[bucket(w)] -= c + 1
-    base[END] += documents
+        base[lex.own + k] += shared.get(k, 0)
+    for w, c in top[: lex.own]:
+        base[lex.bucket(w)] -= c + 1
+    base[-1] += documents
     return counts, lex, base / (lex.tokens + lex.types + 1)
 
 
@@ -263,11 +279,11 @@ def trained(seen: DataFrame, base: np.ndarray, iterations: int = ITERATIONS) ->
         sums = parts.selectExpr("posexplode(sums) as (i, v)").groupBy("i").agg(F.sum("v").alias("v")).collect()
         if not sums:
             break
-        flat = np.zeros(STATES + STATES**2 + STATES * CLASSES)
+        flat = np.zeros(STATES + STATES**2 + STATES * len(base))
         for r in sums:
             flat[r.i] = r.v
         first, move, emit = np.split(flat, [STATES, STATES + STATES**2])
-        model = model.updated(first, move.reshape(STATES, STATES), emit.reshape(STATES, CLASSES))
+        model = model.updated(first, move.reshape(STATES, STATES), emit.reshape(STATES, len(base)))
     return model
 
 

@@ -181,6 +181,17 @@ def test_lm_counts_are_exact_and_beat_the_base(docs, rows, empty):
     assert lm.scored(empty).count() == 0
 
 
+def test_own_words_grow_with_the_vocabulary(spark):
+    rows = [(i, " ".join(f"w{k}tail" for k in range(20000) if k % 40 == i % 40 or k < 1100)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("cast(text as binary) as t")
+    _, lex, base = lm.lexicon_of(df)
+    assert lex.own == 8 * math.isqrt(20001) and len(base) == lex.classes == lex.own + lm.BUCKETS + 1
+    assert len({lex.known[f"w{k}tail".encode()] for k in range(1100)}) == 1100  # beyond 767, and all alike at the end
+    assert base.sum() == pytest.approx(1, abs=0.02) and (base > 0).all()
+    got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == 60 and all(math.isfinite(r.score) for r in got)
+
+
 def test_forward_is_exact():
     draw = np.random.default_rng(1)
     base = draw.random(lm.CLASSES)
