@@ -132,3 +132,11 @@ def test_stream_of_documents(spark, tmp_path):
     seen = []
     ingest.run(ingest.classified(ingest.landing(spark, str(tmp_path / "in"))), lambda df, i: seen.extend(r.document_type for r in df.collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert seen == ["INVOICE"]
+
+
+def test_messages_of_all_checks(spark):
+    d = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["validate_messages"](spark, d).collect()
+    checks = catalogue.QUERIES["export_sheet_validation"](spark, d).select("doc_id", "check").collect()
+    assert sorted((r.doc_id, r.check) for r in got) == sorted(map(tuple, checks))
+    assert any(r.message for r in got)
