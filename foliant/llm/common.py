@@ -40,11 +40,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORD + "+"), "")
 
 
-def running_sums(name: str, size: str, block: int = 256) -> str:
-    """SQL for the sums of all elements before each one of the array column `name` (length `size`), in less than quadratic time."""
-    sums = f"transform(sequence(0, ({size} - 1) div {block}), b -> aggregate(slice({name}, int(b * {block} + 1), {block}), 0L, (a, x) -> a + x))"
-    starts = f"aggregate({sums}, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
-    return f"transform(sequence(0, {size} - 1), k -> get({starts}, int(k div {block})) + aggregate(slice({name}, int(k - k % {block} + 1), int(k % {block})), 0L, (a, x) -> a + x))"
+def let(value: str, name: str, body: str) -> str:
+    """SQL for `body` with `name` standing for `value`, which is worked out once even where body uses it inside a lambda."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def running_sums(sizes: str, block: int = 64) -> str:
+    """SQL for the sums of all elements before each one of the array expression `sizes` of whole numbers.
+
+    Blocks are added up first, once, so an array of n elements takes n * block / 2 + (n / block) ** 2 additions at most.
+    """
+    starts = f"aggregate(run_x, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + aggregate(x, 0L, (c, y) -> c + y))))"
+    within = "transform(run_b.x, (run_y, run_i) -> run_b.s + aggregate(slice(run_b.x, 1, run_i), 0L, (c, y) -> c + y))"
+    cut = f"transform(sequence(0, (size(run_n) - 1) div {block}), b -> slice(run_n, b * {block} + 1, {block}))"
+    return let(sizes, "run_n", f"if(size(run_n) = 0, cast(array() as array<bigint>), {let(cut, 'run_x', let(starts, 'run_s', f'flatten(transform(run_x, (x, i) -> {let("named_struct('x', x, 's', get(run_s, i))", 'run_b', within)}))'))})")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby context words adjust their score.
 
 Positions are code points, the end exclusive. Everything is a Spark expression on the row: no shuffle, no Python. Patterns start
-only where a run of their characters starts and never give back what they took, so a text of any length is read in linear time.
+only where a run of their characters starts and never give back what they took; positions are running sums by blocks and the context of a span is read
+from the two short pieces of the text around it, so a text of any length and with any number of spans is read in about linear time.
 
 Kinds: email, ip, card (Luhn) and phone are the base, whatever their score; iban (mod 97) and ssn are added when their score
 reaches THRESHOLD. Defined results: a null or empty text has no spans; rows that repeat are each judged; an empty table
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sums
+from .common import let, running_sums
 
 #: In this order spans that begin together are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -21,6 +22,8 @@ BASE = 4
 THRESHOLD = 0.6
 #: Characters on either side in which context words count.
 NEAR = 40
+#: Code points of the pieces that a text with spans is cut into, so that the context of a span is read from two of them, not from the text's beginning.
+PIECE = 256
 _EMAIL_CHAR = r"[A-Za-z0-9._%+-]"
 
 #: kind -> (cheap guard, pattern, what a match must pass, score without context, score that context adds, context words)
@@ -40,27 +43,42 @@ _MOD97 = """aggregate(split(concat(substring(x, 5), substring(x, 1, 4)), ''), 0,
   when ch rlike '[A-Z]' then (a * 100 + ascii(ch) - 55) % 97 else a end) = 1"""
 
 
+def _spans(kind: str, valid: str) -> str:
+    """SQL: (s, e, rank, kind) of the matches in p_x that pass `valid`; pieces between matches and the matches alternate, so running sums of their lengths are positions."""
+    sizes = "transform(pii_m.x, (x, i) -> bigint(length(get(pii_m.b, i)) + length(x)))"
+    one = f"named_struct('s', get(pii_at, i) + length(get(pii_m.b, i)), 'e', get(pii_at, i) + length(get(pii_m.b, i)) + length(x), 'rank', {KINDS.index(kind)}, 'kind', '{kind}')"
+    found = f"filter(transform(pii_m.x, (x, i) -> if({valid}, {one}, null)), z -> z is not null)"
+    return let("named_struct('x', p_x, 'b', p_between)", "pii_m", let(running_sums(sizes), "pii_at", found))
+
+
+def _scored() -> str:
+    """SQL: p_all with the score of each span; the text is cut once and a context is read from the two pieces around it."""
+    piece = "concat(coalesce(get(pii_t, int({at} div {n})), ''), coalesce(get(pii_t, int({at} div {n}) + 1), ''))"
+    before = f"substring({piece.format(at=f'greatest(0L, z.s - {NEAR})', n=PIECE)}, int(greatest(0L, z.s - {NEAR}) % {PIECE}) + 1, int(least({NEAR}L, z.s)))"
+    after = f"substring({piece.format(at='z.e', n=PIECE)}, int(z.e % {PIECE}) + 1, {NEAR})"
+    cases = " ".join(f"when {KINDS.index(k)} then {RULES[k][3]}D + if(pii_w rlike '{RULES[k][5]}', {RULES[k][4]}D, 0D)" for k in KINDS)
+    one = let(f"lower(concat({before}, ' ', {after}))", "pii_w", f"named_struct('s', z.s, 'e', z.e, 'rank', z.rank, 'kind', z.kind, 'score', case z.rank {cases} end)")
+    return let(f"regexp_extract_all(p_text, '(?s).{{1,{PIECE}}}', 0)", "pii_t", f"transform(p_all, z -> {one})")
+
+
 def find(rows: DataFrame, text: Column) -> DataFrame:
     """Adds the column `pii`: array of (s, e, rank, kind, score) by start, then kind."""
     a = rows.withColumn("p_text", F.coalesce(text, F.lit("")))
     a = a.withColumn("p_digit", F.col("p_text").rlike("[0-9]"))
+    none = "cast(array() as array<struct<s:bigint,e:bigint,rank:int,kind:string>>)"
     for kind in KINDS:
-        rank = KINDS.index(kind)
-        guard, pattern, valid, score, more, near = RULES[kind]
+        guard, pattern, valid = (x for x in RULES[kind][:3])
         guard, pattern = guard.format(t="p_text"), pattern.format()
         valid = _LUHN if kind == "card" else _MOD97 if kind == "iban" else valid.format() if kind != "ssn" else valid
         if kind != "email":
             guard = f"p_digit and {guard}"
         a = a.withColumn("p_x", F.when(F.expr(guard), F.regexp_extract_all("p_text", F.lit(pattern), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")))
-        # Pieces between matches and the matches alternate, so running sums of their lengths are positions.
         a = a.withColumn("p_between", F.when(F.size("p_x") > 0, F.split("p_text", pattern, -1)))
-        a = a.withColumn("p_len", F.expr("transform(p_x, (x, i) -> bigint(length(get(p_between, i)) + length(x)))"))
-        a = a.withColumn("p_at", F.expr(f"if(size(p_x) = 0, cast(array() as array<bigint>), {running_sums('p_len', 'size(p_len)')})"))
-        a = a.withColumn("p_z", F.expr(f"""filter(transform(p_x, (x, i) -> if({valid}, named_struct('s', get(p_at, i) + length(get(p_between, i)), 'e', get(p_at, i) + get(p_len, i)), null)), z -> z is not null)"""))
-        around = f"lower(concat(substring(p_text, int(greatest(1, z.s - {NEAR - 1})), int(least({NEAR}, z.s))), ' ', substring(p_text, int(z.e + 1), {NEAR})))"
-        a = a.withColumn(f"p_{kind}", F.expr(f"transform(p_z, z -> named_struct('s', z.s, 'e', z.e, 'rank', {rank}, 'kind', '{kind}', 'score', {score}D + if({around} rlike '{near}', {more}D, 0D)))"))
-    every = ", ".join(f"p_{k}" if KINDS.index(k) < BASE else f"filter(p_{k}, z -> z.score >= {THRESHOLD}D)" for k in KINDS)
-    return a.withColumn("pii", F.expr(f"array_sort(concat({every}))")).drop("p_text", "p_digit", "p_x", "p_between", "p_len", "p_at", "p_z", *[f"p_{k}" for k in KINDS])
+        a = a.withColumn(f"p_{kind}", F.expr(f"if(size(p_x) = 0, {none}, {_spans(kind, valid)})"))
+    a = a.withColumn("p_all", F.concat(*(F.col(f"p_{k}") for k in KINDS)))
+    a = a.withColumn("p_scored", F.expr(f"if(size(p_all) = 0, cast(array() as array<struct<s:bigint,e:bigint,rank:int,kind:string,score:double>>), {_scored()})"))
+    kept = f"filter(p_scored, z -> z.rank < {BASE} or z.score >= {THRESHOLD}D)"
+    return a.withColumn("pii", F.expr(f"array_sort({kept})")).drop("p_text", "p_digit", "p_x", "p_between", "p_all", "p_scored", *[f"p_{k}" for k in KINDS])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -140,3 +140,12 @@ def test_shards_of_equal_rows(spark):
     assert sorted(r.n_bytes for r in got) == [1000] * 10
     many = spark.range(3000).selectExpr("id", "100L as bytes").unionAll(rows.selectExpr("cast(id as long)", "bytes"))
     assert max(r.n_bytes for r in sharding.directory(sharding.shards(many, 1000)).collect()) <= 1000
+
+
+def test_pii_in_dense_long_texts(spark):
+    """Thousands of spans in one text, contexts over the edges of pieces and characters of several bytes."""
+    texts = [(1, "1." * 20000), (2, "é€ a@b.c mail 10.0.0.1 " * 3000), (3, "x" * 230 + " ip " + "y" * 20 + " 10.0.0.1 " + "z" * 30 + " host"), (4, "\U0001f600" * 300 + " ssn 123-45-6789 " + "\U0001f600" * 300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    assert (got[1].n_ip, got[2].n_email, got[2].n_ip) == (5000, 3000, 3000) and got[4].spans == "ssn:305:316"
+    assert collected(pii.digest(df.where("doc_id != 1"))) == in_duckdb([(i, t, None, None) for i, t in texts if i != 1], pii.ORACLE_SQL)
