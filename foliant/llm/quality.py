@@ -2,7 +2,9 @@
 
 Fences come from mergeable quantile sketches: log-linear histograms of integer ratios (32 buckets to each power of two, so
 a quantile is off by 1/32 at most). Sketches of sources merge into one of their language, those into one of all rows, by
-adding counts; a group of fewer than MIN_ROWS documents takes the sketch of the next larger group.
+adding counts. A sketch gives the median, the spread (the mean distance from the median) and the outer deciles; the fence stands some spreads (SPREADS) from
+the median and never within the deciles of a group that is large enough to know them. No cutoff is fixed: where a source's documents vary more, its fence lies further out. Fences of a
+group are weighted with those of the next larger one as if that had given SHRINK documents, so small groups borrow.
 
 Defined results: a null or empty text has no words, so it fails the base rules; null language or source is a group like
 any other; repeated rows are judged each; an empty table gives an empty result.
@@ -15,12 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import NOT_WORD, stored, words_of
 
-#: Documents that pass the base rules a group needs for fences of its own.
-MIN_ROWS = 50
-#: Ratio -> what its fence stands off from the upper quartile at least, in thousandths; a fence stands off three quartile ranges otherwise.
-MARGIN = {"symbols": 80, "dup_lines": 300, "repeats": 100, "word_length": 4000}
-#: Mean word length also has a lower fence.
-LOWER_MARGIN = 2000
+#: What the fence of the next larger group weighs, in documents; a group of fewer may lie outside its own deciles.
+SHRINK = 50
+#: Ratio -> spreads between the median and its fence. Repeated lines and words come in long natural tails, the others do not.
+SPREADS = {"symbols": 8, "dup_lines": 24, "repeats": 24, "word_length": 8}
 
 _RATIOS = {
     "symbols": "1000 * n_symbols div greatest(word_chars, 1)",
@@ -60,24 +60,30 @@ def sketches(rows: DataFrame) -> DataFrame:
     return tall.select("lang", "source", "m.metric", bucket.alias("v")).groupBy("metric", "lang", "source", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Merges a sketch into groups and reads its quartiles."""
+def _summaries(sketch: DataFrame, *by: str) -> DataFrame:
+    """Merges a sketch into groups: (metric, *by, n, high, low, f, g), the outer deciles of each group and its upper and lower fence before weighting."""
     merged = sketch.groupBy("metric", *by, "v").agg(F.sum("c").alias("c"))
-    sums = merged.selectExpr("*", f"sum(c) over (partition by {', '.join(('metric', *by))} order by v) as upto", f"sum(c) over (partition by {', '.join(('metric', *by))}) as n")
-    return sums.groupBy("metric", *by).agg(F.max("n").alias("n"), F.min(F.expr("if(4 * upto >= n, v, null)")).alias("q1"), F.min(F.expr("if(4 * upto >= 3 * n, v, null)")).alias("q3"))
+    group = f"partition by {', '.join(('metric', *by))}"
+    sums = merged.selectExpr("*", f"sum(c) over ({group} order by v) as upto", f"sum(c) over ({group}) as n")
+    sums = sums.selectExpr("*", f"min(if(2 * upto >= n, v, null)) over ({group}) as q50")
+    edge = "if(v < 32, v, v + shiftleft(1L, length(bin(v)) - 6) - 1)"
+    read = sums.groupBy("metric", *by).agg(
+        F.max("n").alias("n"), F.max("q50").alias("q50"), F.sum(F.expr("c * abs(v - q50)")).alias("far"),
+        F.min(F.expr(f"if(10 * upto >= 9 * n, {edge}, null)")).alias("high"), F.min(F.expr("if(10 * upto >= n, v, null)")).alias("low"),
+    )
+    away = "case metric " + " ".join(f"when '{k}' then {v}" for k, v in SPREADS.items()) + " end * far div n"
+    return read.selectExpr("metric", *by, "n", "high", "low", f"greatest(high, q50 + {away}) as f", f"least(low, greatest(0L, q50 - {away})) as g")
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """(lang, source, f): f holds the upper fence of each ratio, and the lower one of word length."""
-    own, lang, every = _quartiles(sketch, "lang", "source"), _quartiles(sketch, "lang"), _quartiles(sketch)
-    own = own.alias("o").join(lang.alias("l"), F.expr("o.metric = l.metric and o.lang <=> l.lang")).join(every.alias("e"), F.expr("o.metric = e.metric"))
-    pick = lambda c: F.expr(f"case when o.n >= {MIN_ROWS} then o.{c} when l.n >= {MIN_ROWS} then l.{c} else e.{c} end")
-    picked = own.select("o.lang", "o.source", "o.metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    least = "case metric " + " ".join(f"when '{k}' then {v}" for k, v in MARGIN.items()) + " end"
-    upper = f"q3 + greatest(3 * (q3 - q1), {least})"
-    one = lambda k: F.max(F.expr(f"if(metric = '{k}', {upper}, null)"))
-    lower = F.max(F.expr(f"if(metric = 'word_length', q1 - greatest(3 * (q3 - q1), {LOWER_MARGIN}), null)"))
-    return picked.groupBy("lang", "source").agg(F.struct(*[one(k).alias(k) for k in MARGIN], lower.alias("shortest")).alias("f"))
+    own, lang, every = _summaries(sketch, "lang", "source"), _summaries(sketch, "lang"), _summaries(sketch)
+    both = own.alias("o").join(lang.alias("l"), F.expr("o.metric = l.metric and o.lang <=> l.lang")).join(every.alias("e"), F.expr("o.metric = e.metric"))
+    held = lambda a, n, x: f"(({n}) * ({a}) + {SHRINK} * ({x})) div (({n}) + {SHRINK})"
+    up, down = (held(f"o.{c}", "o.n", held(f"l.{c}", "l.n", f"e.{c}")) for c in "fg")
+    each = both.selectExpr("o.lang", "o.source", "o.metric", f"greatest({up}, if(o.n >= {SHRINK}, o.high, 0L)) as f", f"if(o.n >= {SHRINK}, least({down}, o.low), {down}) as g")
+    one = lambda k: F.max(F.expr(f"if(metric = '{k}', f, null)"))
+    return each.groupBy("lang", "source").agg(F.struct(*[one(k).alias(k) for k in SPREADS], F.max(F.expr("if(metric = 'word_length', g, null)")).alias("shortest")).alias("f"))
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -129,18 +135,19 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 m AS (SELECT lang, source, metric, CASE WHEN x < 32 THEN x ELSE (x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6) END AS v FROM (
   SELECT lang, source, 'symbols' AS metric, symbols AS x FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'dup_lines', dup_lines FROM b WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'repeats', repeats FROM b WHERE NOT base_failed UNION ALL SELECT lang, source, 'word_length', word_length FROM b WHERE NOT base_failed)),
-q AS (SELECT metric, lang, source, count(*) AS n, list_sort(list(v)) AS vs FROM m GROUP BY ALL),
-ql AS (SELECT metric, lang, count(*) AS n, list_sort(list(v)) AS vs FROM m GROUP BY ALL),
-qe AS (SELECT metric, count(*) AS n, list_sort(list(v)) AS vs FROM m GROUP BY ALL),
-p AS (SELECT q.metric, q.lang, q.source, CASE WHEN q.n >= 50 THEN q.vs WHEN ql.n >= 50 THEN ql.vs ELSE qe.vs END AS vs
-  FROM q JOIN ql ON q.metric = ql.metric AND q.lang IS NOT DISTINCT FROM ql.lang JOIN qe ON q.metric = qe.metric),
-z AS (SELECT metric, lang, source, vs[CAST((len(vs) + 3) // 4 AS BIGINT)] AS q1, vs[CAST((3 * len(vs) + 3) // 4 AS BIGINT)] AS q3 FROM p),
-f AS (SELECT lang, source,
-  max(CASE WHEN metric = 'symbols' THEN q3 + greatest(3 * (q3 - q1), 80) END) AS f_symbols,
-  max(CASE WHEN metric = 'dup_lines' THEN q3 + greatest(3 * (q3 - q1), 300) END) AS f_dup_lines,
-  max(CASE WHEN metric = 'repeats' THEN q3 + greatest(3 * (q3 - q1), 100) END) AS f_repeats,
-  max(CASE WHEN metric = 'word_length' THEN q3 + greatest(3 * (q3 - q1), 4000) END) AS f_longest,
-  max(CASE WHEN metric = 'word_length' THEN q1 - greatest(3 * (q3 - q1), 2000) END) AS f_shortest FROM z GROUP BY ALL)
+q AS (SELECT metric, lang, source, list_sort(list(v)) AS vs FROM m GROUP BY ALL),
+ql AS (SELECT metric, lang, list_sort(list(v)) AS vs FROM m GROUP BY ALL),
+qe AS (SELECT metric, list_sort(list(v)) AS vs FROM m GROUP BY ALL),
+s1 AS (SELECT 1 AS tier, metric, lang, source, vs FROM q UNION ALL SELECT 2, metric, lang, NULL, vs FROM ql UNION ALL SELECT 3, metric, NULL, NULL, vs FROM qe),
+s2 AS (SELECT tier, metric, lang, source, CAST(len(vs) AS BIGINT) AS n, vs[(len(vs) + 1) // 2] AS q50, vs[(9 * len(vs) + 9) // 10] AS h, vs[(len(vs) + 9) // 10] AS low,
+  CASE metric WHEN 'symbols' THEN 8 WHEN 'word_length' THEN 8 ELSE 24 END AS k, vs FROM s1),
+s3 AS (SELECT *, CASE WHEN h < 32 THEN h ELSE h + (1 << (length(bin(h)) - 6)) - 1 END AS high, k * CAST(list_sum(list_transform(vs, lambda x: abs(x - q50))) AS BIGINT) // n AS away FROM s2),
+s4 AS (SELECT tier, metric, lang, source, n, high, low, greatest(high, q50 + away) AS f, least(low, greatest(0, q50 - away)) AS g FROM s3),
+z AS (SELECT o.metric, o.lang, o.source, o.n, o.high, o.low, (o.n * o.f + 50 * ((l.n * l.f + 50 * e.f) // (l.n + 50))) // (o.n + 50) AS f, (o.n * o.g + 50 * ((l.n * l.g + 50 * e.g) // (l.n + 50))) // (o.n + 50) AS g
+  FROM s4 o JOIN s4 l ON l.tier = 2 AND l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang JOIN s4 e ON e.tier = 3 AND e.metric = o.metric WHERE o.tier = 1),
+y AS (SELECT metric, lang, source, CASE WHEN n >= 50 THEN greatest(f, high) ELSE f END AS f, CASE WHEN n >= 50 THEN least(g, low) ELSE g END AS g FROM z),
+f AS (SELECT lang, source, max(CASE WHEN metric = 'symbols' THEN f END) AS f_symbols, max(CASE WHEN metric = 'dup_lines' THEN f END) AS f_dup_lines,
+  max(CASE WHEN metric = 'repeats' THEN f END) AS f_repeats, max(CASE WHEN metric = 'word_length' THEN f END) AS f_longest, max(CASE WHEN metric = 'word_length' THEN g END) AS f_shortest FROM y GROUP BY ALL)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(symbols <= f_symbols, true) AND coalesce(dup_lines <= f_dup_lines, true) AND coalesce(repeats <= f_repeats, true)
   AND coalesce(word_length <= f_longest, true) AND coalesce(word_length >= f_shortest, true) AS kept

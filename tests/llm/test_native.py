@@ -149,3 +149,20 @@ def test_pii_in_dense_long_texts(spark):
     got = {r.doc_id: r for r in pii.digest(df).collect()}
     assert (got[1].n_ip, got[2].n_email, got[2].n_ip) == (5000, 3000, 3000) and got[4].spans == "ssn:305:316"
     assert collected(pii.digest(df.where("doc_id != 1"))) == in_duckdb([(i, t, None, None) for i, t in texts if i != 1], pii.ORACLE_SQL)
+
+
+def test_fences_follow_each_group(spark):
+    """A source of alike documents keeps all of them; one that varies more has a wider fence; a lone document borrows its language's."""
+    def text(i, symbols):
+        words = [f"word{i}x{k}" for k in range(60)]
+        return " ".join(w + "#" * (k < symbols) for k, w in enumerate(words))
+
+    rows = [(i, text(0, 30), "en", "alike") for i in range(120)]
+    rows += [(1000 + i, text(i, i % 3), "en", "narrow") for i in range(200)] + [(2000 + i, text(i, i % 25), "en", "wide") for i in range(200)]
+    rows += [(3000, text(1, 58), "en", "narrow"), (3001, text(1, 58), "en", "lone"), (3002, text(2, 1), "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.assess(df).where("kept").collect()}
+    assert kept == {r[0] for r in rows} - {3000}
+    by = {r.source: r.f for r in quality.fences(quality.sketches(quality.counts(quality._named(df), quality.F.col("doc.text")))).collect()}
+    assert by["narrow"].symbols < by["wide"].symbols and len({f.symbols for f in by.values()}) == len(by)
+    assert collected(quality.assess(df)) == in_duckdb(rows, quality.ORACLE_SQL)
