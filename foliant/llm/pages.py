@@ -18,11 +18,13 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,12 @@ SHARE, LEAST = 0.8, 4
 EQUAL = 2**32
 #: Lists of children up to this product of lengths are aligned in one table, longer ones in rows of it.
 SMALL = 4096
+#: Trees higher than this are scored with a stack.
+DEEP = 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
+#: Comments, tags and declarations. In a tag a quote opens only behind an equals sign, and one that nothing closes is an ordinary character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?", re.S)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "br", "option", "caption"}
@@ -66,6 +71,12 @@ def parse(text: str) -> Node:
     """A tree of elements and text. Tags that are missing are closed where HTML implies it; what is open at the end closes there."""
     root = Node("#root", "")
     stack, at, end = [root], 0, len(text)
+    opened: Counter = Counter()  # tags on the stack
+
+    def drop(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while at < end:
         m = _TOKEN.search(text, at)
         if m is None:
@@ -78,11 +89,11 @@ def parse(text: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and all(n.tag != "p" for n in stack):
+            if not opened[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    drop(k)
                     break
                 if tag not in _BLOCK and stack[k].tag in _BLOCK and stack[k].tag != "p":
                     break  # an inline end tag does not close a block
@@ -90,20 +101,22 @@ def parse(text: str) -> Node:
         attrs = m[3] or ""
         name = ""
         if attrs and not attrs.isspace():
-            found = {a[1].lower(): (a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(attrs)}
+            found: dict[str, str] = {}
+            for a in _ATTR.finditer(attrs):
+                found.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
             hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             name = " ".join(found[k] for k in ("class", "id", "role") if k in found) + (" #hidden" if hidden else "")
-        if tag in _CLOSES_P and any(n.tag == "p" for n in stack):
+        if tag in _CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    drop(k)
                     break
                 if stack[k].tag in _WALL:
                     break
         if tag in _IMPLIED:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in _IMPLIED[tag]:
-                    del stack[k:]
+                    drop(k)
                     break
                 if stack[k].tag in _WALL and stack[k].tag not in ("td", "th") or stack[k].tag in ("table", "ul", "ol", "dl"):
                     break
@@ -115,16 +128,20 @@ def parse(text: str) -> Node:
             at = close.end() if close else end
         elif tag not in _VOID and not attrs.rstrip().endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
 class Block:
-    """One block of text: its place (labels of the elements around it), what it says, and its elements."""
+    """One block of text: how many of the elements around the block before are around it, too, the labels of its further ones, a hash of all of them, what it says, and whether an article holds it.
 
-    __slots__ = ("path", "text", "inside")
+    A page of any depth takes as much as it has elements and text.
+    """
 
-    def __init__(self, path: tuple[int, ...], text: str, inside: bool):
-        self.path, self.text, self.inside = path, text, inside
+    __slots__ = ("keep", "labels", "place", "text", "inside")
+
+    def __init__(self, keep: int, labels: list[int], place: int, text: str, inside: bool):
+        self.keep, self.labels, self.place, self.text, self.inside = keep, labels, place, text, inside
 
 
 def blocks(text: str | None) -> list[Block]:
@@ -133,22 +150,34 @@ def blocks(text: str | None) -> list[Block]:
         return []
     out: list[Block] = []
     held: list[str] = []
+    trail: list[int] = []  # labels of the open elements
+    last: list[int] = []  # those around the last block
+    low = 0  # up to here trail has not changed since
 
-    def close(path, inside):
+    def close(place, inside):
+        nonlocal low
         said = " ".join(references.unescape("".join(held)).split())
         held.clear()
         if said:
-            out.append(Block(path, said, inside))
-
-    # An explicit stack: pages may nest deeper than Python recurses. (node, path, inside, next child)
-    stack = [[parse(text), (), False, 0]]
+            keep = low
+            while keep < min(len(trail), len(last)) and trail[keep] == last[keep]:
+                keep += 1
+            out.append(Block(keep, trail[keep:], place, said, inside))
+            last[keep:] = trail[keep:]
+            low = len(trail)
+
+    # An explicit stack: pages may nest deeper than Python recurses. (node, place, inside, next child)
+    stack = [[parse(text), 0, False, 0]]
     while stack:
         frame = stack[-1]
-        node, path, inside, i = frame
+        node, place, inside, i = frame
         if i >= len(node.children):
-            stack.pop()
             if node.tag in _BLOCK or node.tag == "#root":
-                close(path, inside)
+                close(place, inside)
+            stack.pop()
+            if trail:
+                trail.pop()
+                low = min(low, len(trail))
             continue
         frame[3] += 1
         x = node.children[i]
@@ -157,38 +186,42 @@ def blocks(text: str | None) -> list[Block]:
             continue
         if x.tag in _NOT_TEXT or "#hidden" in x.name or (x.name and x.tag not in ("body", "html") and _NOT_NAME.search(x.name)):
             if x.tag in _BLOCK or x.tag in _NOT_TEXT:
-                close(path, inside)
+                close(place, inside)
             continue
         if x.tag == "footer" or x.tag == "header" and not inside:
-            close(path, inside)
+            close(place, inside)
             continue
         if x.tag in _BLOCK:
-            close(path, inside)
+            close(place, inside)
         if x.tag in _VOID:
             continue
         within = inside or x.tag in ("article", "main") or "main" in x.name.split() or "article" in x.name.split()
-        stack.append([x, (*path, x.label), within, 0])
+        trail.append(x.label)
+        stack.append([x, (place * _TIMES + x.label + 1) % _PRIME, within, 0])
     return out
 
 
-def _hash(*parts: object) -> int:
-    return zlib.crc32(repr(parts).encode()) | zlib.adler32(repr(parts[::-1]).encode()) << 31
+_TIMES, _PRIME = 0x1B873593CC9E2D51, 2**61 - 1
+#: The label of the leaves of a block tree.
+_LEAF = zlib.crc32(b"leaf")
+
 
+def said(text: str) -> int:
+    """A number for what a block says."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
-def tree(page: list[Block]) -> tuple:
-    """The block tree: (label, children) for elements, (place, hash of the text) as a leaf for each block."""
+
+def tree(page: Iterable[tuple[int, Sequence[int], int, int]]) -> tuple:
+    """The block tree of (keep, labels, place, said): (label, children) for elements, (_LEAF, (place, said)) as a leaf for each block."""
     root: tuple = (0, [])
     trail = [root]
-    for b in page:
-        keep = 1
-        while keep <= len(b.path) and keep < len(trail) and trail[keep][0] == b.path[keep - 1]:
-            keep += 1
-        del trail[keep:]
-        for label in b.path[keep - 1 :]:
-            node = (label, [])
+    for keep, labels, place, text in page:
+        del trail[keep + 1 :]
+        for label in labels:
+            node = (int(label), [])
             trail[-1][1].append(node)
             trail.append(node)
-        trail[-1][1].append((_hash("leaf"), (_hash(b.path), _hash(b.text))))
+        trail[-1][1].append((_LEAF, (int(place), int(text))))
     return root
 
 
@@ -204,57 +237,113 @@ class Matching:
         self.number: dict[tuple, int] = {}
         self.label: list[int] = []
         self.kids: list[tuple[int, ...] | None] = []
-        self.keys: list[frozenset] = []  # leaves below that both trees have
-        self.bare: list[int] = []  # the kind of the same shape without them
+        self.bare: list[int] = []  # the kind of the same shape without leaves that both trees have
         self.whole: list[int] = []  # score with itself if both trees have all its leaves, else 0
+        self.height: list[int] = []
         self.held: dict[tuple[int, int], int] = {}
-        self.a, self.b = self.placed(a), self.placed(b)
-
-    def kind(self, label: int, said: tuple | None, kids: tuple[int, ...] | None) -> int:
-        if (k := self.number.get((label, said, kids))) is None:
+        # Of each side: the common leaves in order, where each stands, and the range of them below a kind.
+        self.order: tuple[list, list] = ([], [])
+        self.places: tuple[dict, dict] = ({}, {})
+        self.span: tuple[dict, dict] = ({}, {})
+        self.a, self.b = self.placed(a, 0), self.placed(b, 1)
+
+    def kind(self, label: int, text: tuple | None, kids: tuple[int, ...] | None) -> int:
+        if (k := self.number.get((label, text, kids))) is None:
             bare = None
-            if said is not None:
+            if text is not None:
                 bare = self.kind(label, None, None)
             elif kids and any(self.bare[x] != x for x in kids):
                 bare = self.kind(label, None, tuple(self.bare[x] for x in kids))
-            k = self.number[label, said, kids] = len(self.label)
+            k = self.number[label, text, kids] = len(self.label)
             self.label.append(label)
             self.kids.append(kids)
-            self.keys.append(frozenset([said]) if said else frozenset().union(*(self.keys[x] for x in kids or ())))
             self.bare.append(k if bare is None else bare)
             parts = [self.whole[x] for x in kids or ()]
-            self.whole.append(EQUAL + 1 if said else 1 + sum(parts) if kids and all(parts) else 0)
+            self.whole.append(EQUAL + 1 if text else 1 + sum(parts) if kids and all(parts) else 0)
+            self.height.append(1 + max((self.height[x] for x in kids or ()), default=0))
         return k
 
-    def placed(self, t: tuple) -> tuple:
+    def placed(self, t: tuple, side: int) -> tuple:
         """(kind, what a leaf says, placed children) for each node, children first."""
-        stack: list[tuple[tuple, list]] = [(t, [])]
+        order, places, span = self.order[side], self.places[side], self.span[side]
+        stack: list[tuple[tuple, list, int]] = [(t, [], 0)]
         while True:
-            node, done = stack[-1]
+            node, done, begin = stack[-1]
             if isinstance(node[1], tuple):
-                out = (self.kind(node[0], node[1] if node[1] in self.common else None, None), node[1], None)
+                text = node[1] if node[1] in self.common else None
+                if text:
+                    places.setdefault(text, []).append(len(order))
+                    order.append(text)
+                out = (self.kind(node[0], text, None), node[1], None)
             elif len(done) < len(node[1]):
-                stack.append((node[1][len(done)], []))
+                stack.append((node[1][len(done)], [], len(order)))
                 continue
             else:
                 out = (self.kind(node[0], None, tuple(x[0] for x in done)), None, done)
+            span.setdefault(out[0], (begin, len(order)))
             stack.pop()
             if not stack:
                 return out
             stack[-1][1].append(out)
 
-    def score(self, x: int, y: int) -> int:
+    def keys(self, k: int, side: int) -> list[tuple]:
+        """The common leaves below a kind."""
+        begin, end = self.span[side].get(k, (0, 0))
+        return self.order[side][begin:end]
+
+    def apart(self, x: int, y: int) -> bool:
+        """Whether no leaf is below both."""
+        (a, b), (c, d) = self.span[0].get(x, (0, 0)), self.span[1].get(y, (0, 0))
+        one, places = (self.order[0][a:b], self.places[1]) if b - a <= d - c else (self.order[1][c:d], self.places[0])
+        lo, hi = (c, d) if b - a <= d - c else (a, b)
+        for key in one:
+            at = places[key]
+            i = bisect_left(at, lo)
+            if i < len(at) and at[i] < hi:
+                return False
+        return True
+
+    def known(self, x: int, y: int) -> int | tuple[int, int]:
+        """The score of two kinds, or the pair to work out."""
         if self.label[x] != self.label[y]:
             return 0
         if x == y and self.whole[x]:
             return self.whole[x]
         if self.kids[x] is None or self.kids[y] is None:
             return int(self.kids[x] is self.kids[y])
-        if self.keys[x].isdisjoint(self.keys[y]):
-            x, y = self.bare[x], self.bare[y]
-        if (s := self.held.get((x, y))) is None:
-            s = self.held[x, y] = 1 + int(self.rows(self.kids[x], self.kids[y])[-1])
-        return s
+        if (s := self.held.get((x, y))) is not None:
+            return s
+        if self.apart(x, y):
+            bare = self.bare[x], self.bare[y]
+            if bare != (x, y):
+                s = self.held.get(bare)
+                return bare if s is None else s
+        return x, y
+
+    def score(self, x: int, y: int) -> int:
+        s = self.known(x, y)
+        if isinstance(s, int):
+            return s
+        x, y = s
+        if min(self.height[x], self.height[y]) > DEEP:  # deeper than Python recurses: from below, with a stack
+            stack = [s]
+            while stack:
+                p, q = stack[-1]
+                if (p, q) in self.held:
+                    stack.pop()
+                elif todo := [k for k in self.asked(self.kids[p], self.kids[q]) if min(self.height[k[0]], self.height[k[1]]) > DEEP]:
+                    stack.extend(todo)
+                else:
+                    self.held[p, q] = 1 + int(self.rows(self.kids[p], self.kids[q])[-1])
+                    stack.pop()
+        else:
+            self.held[s] = 1 + int(self.rows(self.kids[x], self.kids[y])[-1])
+        return self.held[s]
+
+    def asked(self, x: Sequence[int], y: Sequence[int]) -> list[tuple[int, int]]:
+        """The pairs that `rows` needs of high kinds and does not know."""
+        high = lambda kinds: [k for k in set(kinds) if self.height[k] > DEEP]
+        return [s for p in high(x) for q in high(y) for s in (self.known(p, q), self.known(self.bare[p], self.bare[q])) if not isinstance(s, int)]
 
     def rows(self, x: Sequence[int], y: Sequence[int]) -> Sequence[int]:
         """The best score of all of x with each beginning of y; a row of the table at a time."""
@@ -270,7 +359,7 @@ class Matching:
         kinds, shapes = kinds.tolist(), shapes.tolist()
         having: dict[tuple, list[int]] = {}
         for j, q in enumerate(kinds):
-            for key in self.keys[q]:
+            for key in self.keys(q, 1):
                 having.setdefault(key, []).append(j)
         by_shape: dict[int, np.ndarray] = {}
         best = np.zeros(len(y) + 1, dtype=np.int64)
@@ -278,7 +367,7 @@ class Matching:
             if (v := by_shape.get(self.bare[p])) is None:
                 v = by_shape[self.bare[p]] = np.array([self.score(self.bare[p], q) for q in shapes], dtype=np.int64)
             v = v[shape]
-            for j in {j for key in self.keys[p] for j in having.get(key, ())}:
+            for j in {j for key in self.keys(p, 0) for j in having.get(key, ())}:
                 v[j] = self.score(p, kinds[j])
             best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + v[place]))
         return best
@@ -358,22 +447,16 @@ def matching(a: tuple, b: tuple, pairs: list | None = None) -> int:
 def _parsed(batches):
     """Host, page and block tree of pages, as lists of numbers."""
     for pdf in batches:
-        paths, texts = [], []
-        for x in pdf["html"]:
-            page = blocks(x)
-            paths.append([list(b.path) for b in page])
-            texts.append([_hash(b.text) for b in page])
-        yield pd.DataFrame({"host": pdf["host"], "paths": paths, "texts": texts})
+        rows = [blocks(x) for x in pdf["html"]]
+        tree_of = {"keeps": lambda b: b.keep, "labels": lambda b: b.labels, "places": lambda b: b.place, "texts": lambda b: said(b.text)}
+        yield pd.DataFrame({"host": pdf["host"]} | {k: [[f(b) for b in page] for page in rows] for k, f in tree_of.items()})
 
 
 def _constants(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Aligns a group's pages with one of them; counts on how many each block of it is constant."""
     trees = []
-    for texts, paths in sorted(zip(map(tuple, pdf["texts"]), pdf["paths"]), key=lambda x: x[0]):
-        page = [Block(tuple(int(v) for v in p), "", False) for p in paths]
-        t = tree(page)
-        _fill(t, iter(texts))
-        trees.append((len(texts), t))
+    for texts, keeps, labels, places in sorted(zip(map(tuple, pdf["texts"]), pdf["keeps"], pdf["labels"], pdf["places"]), key=lambda x: x[0]):
+        trees.append((len(texts), tree(zip(keeps, labels, places, texts))))
     seen: Counter = Counter()
     if trees:
         model = max(trees, key=lambda t: t[0])[1]  # the page with most blocks has a place for what the others say
@@ -385,28 +468,14 @@ def _constants(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["host", "place", "said", "n", "pages"])
 
 
-def _fill(t: tuple, said) -> None:
-    """Puts the hashes of the texts, in page order, into the leaves of a tree."""
-    stack = [(t, 0)]
-    while stack:
-        node, i = stack.pop()
-        if i < len(node[1]):
-            stack.append((node, i + 1))
-            child = node[1][i]
-            if isinstance(child[1], tuple):
-                node[1][i] = (child[0], (child[1][0], next(said)))
-            else:
-                stack.append((child, 0))
-
-
 def templates(pages: DataFrame) -> DataFrame:
     """(host, constants): the (place, text) hashes of each host's template blocks; fewer than a few pages' blocks."""
     rows = pages.selectExpr(f"coalesce({_host('url')}, '') as host", "html")
-    trees = rows.mapInPandas(_parsed, "host string, paths array<array<long>>, texts array<long>")
+    trees = rows.mapInPandas(_parsed, "host string, keeps array<int>, labels array<array<long>>, places array<long>, texts array<long>")
     # Copies count once on the whole host, so they become one page before pages are dealt.
-    trees = stored(trees.groupBy("host", "texts").agg(F.min("paths").alias("paths")), "page-trees")
+    trees = stored(trees.groupBy("host", "texts").agg(F.min(F.struct("keeps", "labels", "places")).alias("t")).select("host", "texts", "t.*"), "page-trees")
     sizes = stored(trees.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "host-pages").selectExpr("host as of_host", "n as of_n")
-    dealt = trees.join(sizes, F.expr("host = of_host")).selectExpr("host", f"pmod(xxhash64(texts), greatest(1, of_n div {GROUP})) as g", "paths", "texts")
+    dealt = trees.join(sizes, F.expr("host = of_host")).selectExpr("host", f"pmod(xxhash64(texts), greatest(1, of_n div {GROUP})) as g", "keeps", "labels", "places", "texts")
     counted = dealt.groupBy("host", "g").applyInPandas(_constants, "host string, place long, said long, n long, pages long")
     summed = counted.groupBy("host", "place", "said").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
     summed = stored(summed, "host-constants")
@@ -418,7 +487,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def content(page: list[Block], constants: set[tuple[int, int]]) -> str:
     """The text of a page's article: its blocks that are no template, of the article if one is marked."""
     page = [b for b in page if b.inside] or page
-    return " ".join(b.text for b in page if not constants or (_hash(b.path), _hash(b.text)) not in constants)
+    return " ".join(b.text for b in page if not constants or (b.place, said(b.text)) not in constants)
 
 
 def _extracted(batches):

@@ -298,3 +298,65 @@ def test_template_behind_like_siblings(spark):
     rows = [(i, f"http://h.com/{i}", f"<body>{ends(i)}</body>") for i in range(20)]
     got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: " ".join(f"Text {i} {k}" for k in range(5 + 23 * (i % 7))) for i in range(20)}
+
+
+def test_attributes_and_quotes():
+    say = lambda h: [b.text for b in pages.blocks(h)]
+    assert say("<p data=don't>Hello world</p><p>More text</p>") == ["Hello world", "More text"]
+    assert say("<p title=\"a > b\" alt='hidden ad'>One</p><p title=\"open>Two</p><p title='it>Three</p>") == ["One", "Two", "Three"]
+    assert say("<p data-class=ad title='the hidden truth'>Stays</p><p hidden>gone</p><p class = \"ad\" class=x>gone</p><p CLASS=x class=ad>Too</p>") == ["Stays", "Too"]
+    assert say("a < b <p>c") == ["a < b", "c"] and say("</p>x</div>y") == ["xy"]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = lambda i, n: "<div>" * n + f"<p>Text {i}</p>" + "</div><p>Kept by all</p>" * n
+    wide = lambda i: "".join(f"<p>Item {i} {k}</p>" for k in range(500 + i)) + "<p>Kept by all</p>"
+    rows = [(i, "http://deep.com/", deep(i, 600 + i)) for i in range(6)] + [(100 + i, "http://wide.com/", wide(i)) for i in range(6)] + [(200, "http://one.com/", "<div>" * 30000 + "Deepest")]
+    got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[200] == "Deepest" and all(got[100 + i] == " ".join(f"Item {i} {k}" for k in range(500 + i)) for i in range(6))
+    assert all(got[i].startswith(f"Text {i}") for i in range(6)) and len(got[3]) < 100
+
+
+def test_matching_is_the_best_of_all():
+    """Scores against a plain recursion over all pairs of random trees; deep trees run without recursion."""
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+        if isinstance(a[1], tuple):
+            return 1 + (pages.EQUAL if a[1] == b[1] else 0)
+        t = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+        for i, x in enumerate(a[1]):
+            for j, y in enumerate(b[1]):
+                t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + plain(x, y))
+        return 1 + t[-1][-1]
+
+    draw = random.Random(4)
+
+    def grown(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return (1, (1, draw.randrange(6)))
+        return (draw.randrange(2, 5), [grown(depth - 1) for _ in range(draw.randrange(5))])
+
+    for _ in range(150):
+        a, b = ((0, [grown(4) for _ in range(draw.randrange(6))]) for _ in range(2))
+        m = pages.Matching(a, b)
+        assert m.score(m.a[0], m.b[0]) == plain(a, b)
+        pairs = list(m.leaves())
+        assert sum(p == q for p, q in pairs) == plain(a, b) // pages.EQUAL
+
+    def chain(n, last):
+        t = (1, (1, last))
+        for k in range(n):
+            t = (2, [t, (1, (1, k))])
+        return (0, [t])
+
+    m = pages.Matching(chain(5000, -1), chain(5000, -2))
+    assert m.score(m.a[0], m.b[0]) // pages.EQUAL == 5000 and sum(p == q for p, q in m.leaves()) == 5000
+    old = pages.DEEP
+    try:
+        pages.DEEP = 3
+        for n in (5, 20, 60):
+            m = pages.Matching(chain(n, -1), chain(n + 2, -1))
+            assert m.score(m.a[0], m.b[0]) == plain(chain(n, -1), chain(n + 2, -1))
+    finally:
+        pages.DEEP = old
