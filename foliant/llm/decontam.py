@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-grams of the test items are seeds that meet the training texts; around them, Smith-Waterman
+"""Benchmark decontamination: rare n-grams of the test items are seeds that are joined with the training texts'; around them, Smith-Waterman
 alignment of words scores exact, edited and paraphrased copies.
 
 An n-gram is rare if at most RARE_ITEMS of all items have it; items that say the same words are one item with several ids. An item without any rare
@@ -6,22 +6,22 @@ n-gram has its rarest ones as seeds, so every item can be found. Seeds of one it
 the item is aligned with the window (match +2, mismatch and gap -1) and the score is the best local alignment over that of a
 perfect copy. Each window is aligned, none is dropped for its rank.
 
-The test items are a query set: they are taken in blocks of at most BLOCK_BYTES, whose index each worker gets, so the corpus is only ever
-read in place: no shuffle, whatever its size, and memory bounded by a block and a batch.
+The corpus is read once, whatever the number of items. A sieve of at most SIEVE_BITS bits, which each worker gets, lets the n-grams through that may be seeds; it
+never holds one back that is, so its size changes only how many are joined for nothing. Texts whose n-grams lie dense enough for some item are kept with their words'
+hashes, equal texts once; their n-grams are joined with the table of seeds (salted, so that a passage of many texts is many keys), and windows with their items.
 
 Case and punctuation do not count. Defined results: null or empty texts and items match nothing; items shorter than N words have one seed, all their words; repeated rows are judged
-each; empty tables give empty results (or, when filtering, the documents as they are).
+each; columns other than doc_id, text and item_id have no say; empty tables give empty results (or, when filtering, the documents as they are).
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,47 +34,65 @@ RARE_ITEMS = 8
 LEAST_SEEDS = 3
 #: Part of a perfect copy's score from which an item counts as leaked.
 THRESHOLD = 0.45
-BLOCK_BYTES = 8 * 2**20
+#: Bits of the sieve: SIEVE for each seed, SIEVE_BITS at most (32 MiB).
+SIEVE, SIEVE_BITS = 64, 2**28
+#: Parts that the seeds of one n-gram are dealt to when they are joined.
+SALT = 8
 #: Copies may differ in punctuation: ASCII characters that are no letters or digits separate words here.
 TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
+_M = np.uint64(0x9E3779B97F4A7C15)
+_M2 = np.uint64(0xD6E8FEB86659FD93)
 
-class Index:
-    """Words and seeds of a block of items, each (its ids, its words, the positions of its seeds)."""
-
-    def __init__(self, items: list[tuple[list, bytes, list[int]]]):
-        self.ids = [i for i, _, _ in items]
-        words = [t.split() for _, t, _ in items]
-        self.vocabulary: dict[bytes, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws], dtype=np.int64) for ws in words]
-        self.base = len(self.vocabulary) + 1
-        grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, list[int]] = defaultdict(list)
-        for k, ws in enumerate(self.items):
-            if 0 < len(ws) < N:
-                self.short[len(ws)].append(k)
-            own = self.grams(ws).tolist()
-            for p in items[k][2]:
-                grams[own[p]].append((k, p))
-        self.keys = np.array(sorted(grams), dtype=np.int64)
-        self.places = [grams[g] for g in self.keys.tolist()]
-        n = Counter(k for at in self.places for k, _ in at)
-        self.need = [max(1, min(LEAST_SEEDS, n[k] // 4)) for k in range(len(items))]
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each run of N words; below 0 if a word of it is unknown. Words number less than 2**21."""
-        if len(ids) < N:
-            return np.empty(0, dtype=np.int64)
-        g, bad = np.zeros(len(ids) - N + 1, dtype=np.int64), np.zeros(len(ids) - N + 1, dtype=bool)
-        for j in range(N):
-            part = ids[j : len(ids) - N + 1 + j]
-            g, bad = g * self.base + part, bad | (part < 0)
-        g[bad] = -1
-        return g
+
+def hashed(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's words begin, and the hashes of all words."""
+    at = ends(words)
+    return at, np.fromiter(map(xxhash.xxh3_64_intdigest, (w for ws in words for w in ws)), dtype=np.uint64, count=int(at[-1]))
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of n words."""
+    if len(h) < n:
+        return np.empty(0, dtype=np.uint64)
+    g = np.full(len(h) - n + 1, n, dtype=np.uint64)
+    for j in range(n):
+        g = (g + h[j : len(h) - n + 1 + j]) * _M
+    g = (g ^ (g >> np.uint64(32))) * _M2
+    return g ^ (g >> np.uint64(29))
+
+
+class Sieve:
+    """Which n-grams may be seeds, by the first bits of their hashes; lengths: the n that occur, least: hits that any item needs within reach."""
+
+    def __init__(self, bits: int, lengths: list[int], least: int, reach: int):
+        self.shift, self.lengths, self.least, self.reach = np.uint64(64 - bits), lengths, least, reach
+        self.held = np.zeros(max(1, 2**bits // 64), dtype=np.uint64)
+
+    def may(self, g: np.ndarray) -> np.ndarray:
+        place = g >> self.shift
+        return (self.held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+    def hits(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, position in it, hash) of the n-grams that pass and have enough others around them, in this order."""
+        found = []
+        for n in self.lengths:
+            g = grams(h, n)
+            pos = np.flatnonzero(self.may(g))
+            row = np.searchsorted(at, pos, side="right") - 1
+            whole = pos + n <= at[row + 1]
+            found.append((row[whole], pos[whole], g[pos[whole]]))
+        row, pos, g = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((g, pos, row))
+        row, pos, g = row[order], pos[order], g[order]
+        place = pos + row * (2 * self.reach + 2)  # texts lie further apart than a reach
+        one = np.unique(place)
+        dense = np.searchsorted(one, place + self.reach, side="right") - np.searchsorted(one, place - self.reach, side="left") >= self.least
+        return row[dense], (pos - at[row])[dense], g[dense]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """The best local alignment's score and the position after its end in text. Words are numbers; those below 0 match nothing."""
+    """The best local alignment's score and the position after its end in text. Words are numbers; equal numbers match."""
     at = np.arange(len(text) + 1)
     row, best, end = np.zeros(len(text) + 1, dtype=np.int64), 0, 0
     for w in item:
@@ -87,118 +105,148 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks(index: Index, ids: np.ndarray, hits: list[tuple[int, int]]) -> Iterator[tuple[int, float, int, int]]:
-    """(item, score, window begin, alignment end) of the items found in one text, the best window of each; hits are (position, seed)."""
-    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for pos, s in hits:
-        for k, p in index.places[s]:
-            by_item[k].append((pos - p, pos))
-    for k, found in by_item.items():
-        item = index.items[k]
-        m, best = len(item), (0.0, 0, 0)
-        found.sort()
-        begin = 0
-        for i in range(1, len(found) + 1):
-            if i == len(found) or found[i][0] - found[i - 1][0] > m // 2 + 2:  # another diagonal
-                run = found[begin:i]
-                begin = i
-                if len({pos for _, pos in run}) < index.need[k]:
-                    continue
-                lo, hi = max(0, run[0][0] - m // 2), min(len(ids), run[-1][0] + m + m // 2 + 1)
-                score, end = align(item, ids[lo:hi])
-                best = max(best, (score / (2 * m), -lo, lo + end))
-        if best[0] >= THRESHOLD:
-            yield k, best[0], -best[1], best[2]
-
-
-def scan(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
-    """(row, item, score, begin, end) of the leaks in a batch of binary texts."""
-    for start, words in pieces(texts, table=TABLE):
-        at = ends(words)
-        ids = np.fromiter(map(index.vocabulary.get, (w for ws in words for w in ws), repeat(-1)), dtype=np.int64, count=int(at[-1]))
-        hit_at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if len(ids) >= N and len(index.keys):
-            grams = index.grams(ids)
-            known = np.flatnonzero(grams >= 0)
-            place = np.minimum(np.searchsorted(index.keys, grams[known]), len(index.keys) - 1)
-            same = index.keys[place] == grams[known]
-            pos, seed = known[same], place[same]
-            row = np.searchsorted(at, pos, side="right") - 1
-            whole = pos + N <= at[row + 1]
-            for r, p, s in zip(row[whole].tolist(), (pos - at[row])[whole].tolist(), seed[whole].tolist()):
-                hit_at[r].append((p, s))
-        for r, hits in hit_at.items():
-            for k, score, lo, end in leaks(index, ids[at[r] : at[r + 1]], hits):
-                yield start + r, k, score, lo, end
-        for n, items in index.short.items():  # items of fewer than N words: wherever they stand whole
-            for r in range(len(words)):
-                own = ids[at[r] : at[r + 1]]
-                for k in items:
-                    if len(own) >= n and (found := np.flatnonzero(np.logical_and.reduce([own[j : len(own) - n + 1 + j] == index.items[k][j] for j in range(n)]))).size:
-                        yield start + r, k, 1.0, int(found[0]), int(found[0]) + n
-
-
-def seeded(benchmark: DataFrame) -> DataFrame:
-    """(words, ids, seeds): each different item, its words in one line, the ids that have it, and the positions of its seeds; rarity is over all items."""
-    said = benchmark.selectExpr("item_id", r"trim(regexp_replace(lower(text), '[\\x00-/:-@\\[-`{-\\x7F]+', ' ')) as words").where("words != ''")
-    items = stored(said.groupBy("words").agg(F.collect_list(F.struct("item_id")).alias("ids")), "items")
-    runs = items.selectExpr("words", "split(words, ' ') as ws").selectExpr("words", f"if(size(ws) < {N}, array(), transform(sequence(0, greatest(0, size(ws) - {N})), p -> xxhash64(slice(ws, p + 1, {N})))) as grams")
-    common = runs.selectExpr("explode(array_distinct(grams)) as g").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    placed = runs.selectExpr("words", "posexplode(grams) as (p, g)").join(common, "g").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("c", "p"))).alias("all"))
-    seeds = placed.selectExpr("words", f"if(all[0].c <= {RARE_ITEMS}, filter(all, x -> x.c <= {RARE_ITEMS}), slice(all, 1, {4 * LEAST_SEEDS})).p as seeds")
-    return stored(items.join(seeds, "words", "left").selectExpr("words", "ids", "coalesce(seeds, array()) as seeds"), "seeded-items")
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[list, bytes, list[int]]]]:
-    """The different items, a block at a time; the driver holds one block and one partition of them."""
-    held, size = [], 0
-    for x in seeded(benchmark).toLocalIterator():
-        t = x.words.encode()
-        if held and size + len(t) > BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-        held.append(([i.item_id for i in x.ids], t, x.seeds))
-        size += len(t)
-    if held:
-        yield held
+def windows(found: list[tuple[int, int]], m: int, need: int, size: int) -> Iterator[tuple[int, int]]:
+    """[begin, end) of the places in a text of `size` words where an item of m words may lie; found are (position in the text, in the item) of its seeds."""
+    by = sorted((pos - p, pos) for pos, p in found)
+    begin = 0
+    for i in range(1, len(by) + 1):
+        if i == len(by) or by[i][0] - by[i - 1][0] > m // 2 + 2:  # another diagonal
+            run = by[begin:i]
+            begin = i
+            if len({pos for _, pos in run}) >= need:
+                yield max(0, run[0][0] - m // 2), min(size, run[-1][0] + m + m // 2 + 1)
+
+
+def _lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.Array:
+    at = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, dtype=kind)))
+
+
+def _items(batches):
+    """(item_id, k, ws, grams): an item's key, the hashes of its words, and its n-grams; items without words are left out."""
+    for b in batches:
+        for start, words in pieces(b.column("t"), table=TABLE):
+            at, h = hashed(words)
+            own = [h[x:y] for x, y in zip(at[:-1], at[1:])]
+            some = [i for i, w in enumerate(own) if len(w)]
+            keys = pa.array([xxhash.xxh64_intdigest(b" ".join(words[i])) - 2**63 for i in some], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("item_id").slice(start, len(words)).take(pa.array(some, pa.int64())), keys, _lists([own[i].view(np.int64) for i in some]), _lists([grams(own[i], min(N, len(own[i]))).view(np.int64) for i in some])],
+                names=["item_id", "k", "ws", "grams"],
+            )
+
+
+def _seen(batches, sieve):
+    """(doc_id, t1, t2, ws, pos, g) of the texts with hits: the hashes of all their words, and where which n-gram passes the sieve."""
+    s = sieve.value
+    for b in batches:
+        for start, words in pieces(b.column("t"), table=TABLE):
+            at, h = hashed(words)
+            row, pos, g = s.hits(at, h)
+            rows, begin = np.unique(row, return_index=True)
+            cut = [slice(x, y) for x, y in zip(begin, [*begin[1:], len(row)])]
+            take = pa.array(rows + start, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(take) for c in ("doc_id", "t1", "t2")), _lists([h[at[r] : at[r + 1]].view(np.int64) for r in rows]), _lists([pos[c] for c in cut], np.int32), _lists([g[c].view(np.int64) for c in cut])],
+                names=["doc_id", "t1", "t2", "ws", "pos", "g"],
+            )
+
+
+def _placed(batches):
+    """(t1, t2, k, lo, hi): the windows of texts and items, from the places of their common seeds."""
+    for b in batches:
+        rows = []
+        for i, (found, m, need, size) in enumerate(zip(*(b.column(c).to_pylist() for c in ("found", "m", "need", "size")))):
+            rows += [(i, lo, hi) for lo, hi in windows([(x["pos"], x["p"]) for x in found], m, need, size)]
+        take = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("t1", "t2", "k")), *(pa.array([r[j] for r in rows], pa.int32()) for j in (1, 2))], names=["t1", "t2", "k", "lo", "hi"])
+
+
+def _aligned(batches):
+    """(t1, t2, k, score, begin, end) of the windows that hold a copy."""
+    for b in batches:
+        rows = []
+        for i, (item, part, lo) in enumerate(zip(b.column("item"), b.column("part"), b.column("lo").to_pylist())):
+            item = item.values.to_numpy()
+            score, end = align(item, part.values.to_numpy())
+            if score / (2 * len(item)) >= THRESHOLD:
+                rows.append((i, score / (2 * len(item)), lo, lo + end))
+        take = pa.array([r[0] for r in rows], pa.int64())
+        cols = [pa.array([r[j] for r in rows], t) for j, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("t1", "t2", "k")), *cols], names=["t1", "t2", "k", "score", "begin", "end"])
+
+
+def seeded(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: ids (k, item_id) of the items; (k, ws, m, need) of each different one; and their seeds (g, k, p). Rarity is over all items."""
+    read = benchmark.select("item_id", F.lower("text").cast("binary").alias("t"))
+    schema = T.StructType([read.schema["item_id"], T.StructField("k", T.LongType()), T.StructField("ws", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.LongType()))])
+    ids = stored(read.mapInArrow(_items, schema), "items")
+    one = stored(ids.groupBy("k").agg(F.first("ws").alias("ws"), F.first("grams").alias("grams")), "different-items")
+    common = one.selectExpr("explode(array_distinct(grams)) as g").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    placed = one.selectExpr("k", "posexplode(grams) as (p, g)").join(common, "g").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "p", "g"))).alias("all"))
+    chosen = f"if(all[0].c <= {RARE_ITEMS}, filter(all, x -> x.c <= {RARE_ITEMS}), slice(all, 1, {4 * LEAST_SEEDS}))"
+    seeds = stored(placed.selectExpr("k", f"{chosen} as s"), "item-seeds")
+    items = one.join(seeds, "k").selectExpr("k", "ws", "size(ws) as m", f"greatest(1, least({LEAST_SEEDS}, size(s) div 4)) as need")
+    return ids.select("k", "item_id"), stored(items, "aligned-items"), seeds.selectExpr("k", "inline(s)").select("g", "k", "p")
+
+
+def sieve_of(items: DataFrame, seeds: DataFrame) -> Sieve | None:
+    """The sieve of a table of seeds: at most SIEVE_BITS / 64 numbers reach the driver."""
+    n = seeds.count()
+    if not n:
+        return None
+    some = items.agg(F.min("need"), F.max("m"), F.collect_set(F.least("m", F.lit(N)))).first()
+    bits = min(max(10, (n * SIEVE - 1).bit_length()), (SIEVE_BITS - 1).bit_length())
+    sieve = Sieve(bits, sorted(some[2]), some[0], (some[0] - 1) * (some[1] // 2 + 2) + some[1])
+    place = seeds.selectExpr(f"shiftrightunsigned(g, {64 - bits}) as x").selectExpr("x div 64 as i", "shiftleft(1L, int(x % 64)) as b").groupBy("i").agg(F.bit_or("b").alias("b"))
+    held = place.toPandas()
+    sieve.held[held["i"].to_numpy()] = held["b"].to_numpy().view(np.uint64)
+    return sieve
+
+
+def _keys(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.hash(text)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Stored tables (doc_id, t1, t2) of texts with hits, (t1, t2, k, score, begin, end) of what they leak, and ids (k, item_id); None without items."""
+    ids, items, seeds = seeded(benchmark)
+    sieve = sieve_of(items, seeds)
+    if sieve is None:
+        return None
+    held = docs.sparkSession.sparkContext.broadcast(sieve)
+    t1, t2 = _keys(F.col("text"))
+    rows = docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.lower("text").cast("binary").alias("t"))
+    array = lambda n, t: T.StructField(n, T.ArrayType(t))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("t1", T.LongType()), T.StructField("t2", T.IntegerType()), array("ws", T.LongType()), array("pos", T.IntegerType()), array("g", T.LongType())])
+    seen = stored(rows.mapInArrow(lambda bs: _seen(bs, held), schema), "dense-texts")
+    texts = stored(seen.groupBy("t1", "t2").agg(F.first(F.struct("ws", "pos", "g")).alias("x")).select("t1", "t2", "x.*"), "different-texts")
+    hits = texts.selectExpr("t1", "t2", "size(ws) as size", "inline(arrays_zip(pos, g))").selectExpr("*", f"pmod(t1, {SALT}) as salt")
+    dealt = seeds.selectExpr("g", "k", "p", f"explode(sequence(0L, {SALT - 1}L)) as salt")
+    pairs = hits.join(dealt, ["g", "salt"]).groupBy("t1", "t2", "k").agg(F.max("size").alias("size"), F.collect_list(F.struct("pos", "p")).alias("found"))
+    pairs = pairs.join(items.select("k", "m", "need"), "k").where("size(found) >= need")
+    places = pairs.select("t1", "t2", "k", "size", "m", "need", "found").mapInArrow(_placed, "t1 long, t2 int, k long, lo int, hi int")
+    parts = places.join(texts.select("t1", "t2", "ws"), ["t1", "t2"]).selectExpr("t1", "t2", "k", "lo", "slice(ws, lo + 1, hi - lo) as part")
+    scored = parts.join(items.select("k", F.col("ws").alias("item")), "k").mapInArrow(_aligned, "t1 long, t2 int, k long, score double, begin long, end long")
+    best = scored.groupBy("t1", "t2", "k").agg(F.max(F.expr("struct(score, -begin as b, end)")).alias("x")).selectExpr("t1", "t2", "k", "x.score", "-x.b as begin", "x.end")
+    return seen.select("doc_id", "t1", "t2"), stored(best, "leaks"), ids
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, begin, end): the items each document leaks, and the words in it where the best copy lies."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.lower("text").cast("binary").alias("t"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])
-    found = spark.createDataFrame([], schema)
-    for block in _blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(block))
-
-        def run(batches, index=index):
-            for b in batches:
-                hits = [(h[0], i, *h[2:]) for h in scan(index.value, b.column("t")) for i in index.value.ids[h[1]]]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64())), pa.array([h[1] for h in hits], items), *(pa.array([h[i] for h in hits], t) for i, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))],
-                    names=["doc_id", "item_id", "score", "begin", "end"],
-                )
-
-        items = pa.string() if isinstance(schema["item_id"].dataType, T.StringType) else pa.int32() if isinstance(schema["item_id"].dataType, T.IntegerType) else pa.int64()
-        found = found.unionAll(rows.mapInArrow(run, schema))
-    return found
+    found = _found(docs, benchmark)
+    if found is None:
+        return docs.limit(0).select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("end"))
+    seen, best, ids = found
+    return seen.join(best, ["t1", "t2"]).join(ids, "k").select("doc_id", "item_id", "score", "begin", "end")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    spark = docs.sparkSession
-    names = docs.columns
-    rows = docs.select(F.struct("*").alias("doc"), F.lower("text").cast("binary").alias("t"))
-    for block in _blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(block))
-
-        def run(batches, index=index):
-            for b in batches:
-                mask = np.ones(b.num_rows, dtype=bool)
-                for hit in scan(index.value, b.column("t")):
-                    mask[hit[0]] = False
-                yield b.filter(pa.array(mask))
-
-        rows = rows.mapInArrow(run, rows.schema)
-    return rows.select("doc.*").toDF(*names)
+    found = _found(docs, benchmark)
+    if found is None:
+        return docs
+    leaked = found[1].selectExpr("t1 as l1", "t2 as l2").distinct()
+    t1, t2 = _keys(F.col("doc.text"))
+    rows = docs.select(F.struct("*").alias("doc")).withColumns({"t1": t1, "t2": t2})
+    return rows.join(stored(leaked, "leaked-texts"), F.expr("t1 = l1 and t2 = l2"), "left_anti").select("doc.*")

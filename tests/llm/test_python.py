@@ -139,15 +139,66 @@ def test_alignment_is_smith_waterman():
         assert decontam.align(a, b)[0] == h.max()
 
 
-def test_benchmark_in_blocks(spark, benchmark, monkeypatch):
-    items, table = benchmark
-    df = spark.createDataFrame([(i, prose(950 + i, 30) + " " + (t or "")) for i, t in items], "doc_id long, text string")
-    whole = {(r.doc_id, r.item_id) for r in decontam.matches(df, table).collect()}
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
-    assert {(r.doc_id, r.item_id) for r in decontam.matches(df, table).collect()} == whole
-
-
-def test_items_whose_words_are_common_are_found(spark, monkeypatch):
+def brute_leaks(rows, items):
+    """Every item against every text, word by word: seeds by counting, windows by diagonals, the full alignment table."""
+    words = lambda t: bytes((t or "").lower().encode()).translate(decontam.TABLE).split()
+    different = {}
+    for i, t in items:
+        if words(t):
+            different.setdefault(tuple(words(t)), []).append(i)
+    runs = {w: [w[p : p + 3] for p in range(len(w) - 2)] if len(w) >= 3 else [w] for w in different}
+    count = Counter(g for r in runs.values() for g in set(r))
+    out = set()
+    for d, t in rows:
+        text = words(t)
+        for w, r in runs.items():
+            ranked = sorted((count[g], p) for p, g in enumerate(r))
+            seeds = [p for c, p in ranked if c <= decontam.RARE_ITEMS] or [p for _, p in ranked[:12]]
+            need = max(1, min(3, len(seeds) // 4))
+            hits = sorted((q - p, q) for p in seeds for q in range(len(text)) if tuple(text[q : q + len(r[p])]) == r[p])
+            runs_of = []
+            for x in hits:
+                if runs_of and x[0] - runs_of[-1][-1][0] <= len(w) // 2 + 2:
+                    runs_of[-1].append(x)
+                else:
+                    runs_of.append([x])
+            for run in runs_of:
+                if len({q for _, q in run}) >= need:
+                    part = text[max(0, run[0][0] - len(w) // 2) : run[-1][0] + len(w) + len(w) // 2 + 1]
+                    h = np.zeros((len(w) + 1, len(part) + 1), dtype=int)
+                    for i in range(1, len(w) + 1):
+                        for j in range(1, len(part) + 1):
+                            h[i, j] = max(0, h[i - 1, j - 1] + (2 if w[i - 1] == part[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+                    if h.max() / (2 * len(w)) >= decontam.THRESHOLD:
+                        out |= {(d, i, round(h.max() / (2 * len(w)), 9)) for i in different[w]}
+    best = {}
+    for d, i, s in out:
+        best[d, i] = max(best.get((d, i), 0), s)
+    return best
+
+
+def test_leaks_agree_with_brute_force(spark, monkeypatch):
+    draw = random.Random(12)
+    items = [(k, prose(820 + k, draw.randrange(1, 30))) for k in range(25)] + [(30, "A, b!"), (31, "a b"), (32, None), (33, ""), (34, "solo")]
+    items += [(40 + k, prose(870, 12) + " " + prose(880 + k, 3)) for k in range(11)] + [(60 + k, prose(890, 15)) for k in range(100)]
+    rows = [(k, prose(2000 + k, 40)) for k in range(10)] + [(100, None), (101, ""), (102, "x a B y"), (103, "solo"), (None, items[3][1])]
+    for k in range(40):
+        w = (items[draw.randrange(len(items))][1] or "q").split()
+        for _ in range(draw.randrange(4)):
+            w[draw.randrange(len(w))] = draw.choice(["edited", "w x", ""])
+        rows.append((200 + k, prose(2100 + k, draw.randrange(60)) + " " + " ".join(w) + " " + prose(2200 + k, draw.randrange(60))))
+    rows += [rows[-1], (900, rows[-1][1])]
+    df, table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "'g' as g", "2 as item_id"), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "3 as k", "'p' as ws")
+    want = brute_leaks(rows, items)
+    assert len(want) > 30 and any(i >= 60 for _, i in want)
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.matches(df, table).collect()} == want
+    assert decontam.matches(df.where("doc_id = 239"), table).count() == 2 * sum(d == 239 for d, _ in want)
+    assert Counter(r.doc_id for r in decontam.clean(df, table).collect()) == Counter(d for d, _ in rows if not any(d == x for x, _ in want))
+    monkeypatch.setattr(decontam, "SIEVE_BITS", 2**10)  # a sieve that lets nearly all through changes nothing
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.matches(df, table).collect()} == want
+
+
+def test_items_whose_words_are_common_are_found(spark):
     same, shared = prose(810, 30), prose(811, 30)
     items = [(k, same if k % 2 else same.upper() + "!") for k in range(20)] + [(100 + k, " ".join(shared.split()[k % 3 :])) for k in range(3)]
     pair = prose(812, 40).split()
@@ -158,8 +209,6 @@ def test_items_whose_words_are_common_are_found(spark, monkeypatch):
     got = {(r.doc_id, r.item_id) for r in decontam.matches(df, table).collect()}
     assert {i for d, i in got if d == 0} == set(range(20)) and {i for d, i in got if d == 1} >= set(range(200, 212)) and not {i for d, i in got if d == 2}
     assert {r.doc_id for r in decontam.clean(df, table).collect()} == {2}
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 10)
-    assert {(r.doc_id, r.item_id) for r in decontam.matches(df, table).collect()} == got
 
 
 def test_lm_counts_are_exact_and_beat_the_base(docs, rows, empty):
