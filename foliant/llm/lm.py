@@ -7,8 +7,8 @@ bytes. How many words have their own grows with the vocabulary: OWN_ROOT times i
 so held-out texts need no vocabulary on the workers.
 
 Training is Baum-Welch: each partition adds up expected counts over its documents, a shuffle adds up the partitions', and only those
-sums, states x classes numbers, reach the driver between iterations. It reads every training document, in chunks of CHUNK
-tokens. Scoring runs the scaled forward recursion through whole texts.
+sums, states x classes numbers, reach the driver between iterations. It reads every training document as one whole sequence.
+Scoring runs the scaled forward recursion through whole texts.
 
 Counts of words stay in a table. Words among the TOP most frequent, or all with an own class if those are more, are scored where the text is read (a broadcast
 of words of at most WORD_BYTES bytes), all others by a join on the word's hash.
@@ -40,7 +40,8 @@ OWN_ROOT = 8
 #: Classes of a small vocabulary.
 CLASSES = OWN + BUCKETS + 1
 TOP, WORD_BYTES = 32768, 64
-CHUNK = 64
+#: Tokens of the segments in which long texts are trained on side by side, and of the texts that are worked on at a time, one text more at most.
+CHUNK, LOT = 1024, 2**19
 HELD_OUT = 2
 
 
@@ -109,9 +110,9 @@ def _taken_apart(batches, lexicon):
                 classes = np.empty(len(ws) + 1, dtype=class_type(lex.classes))
                 classes[:-1] = [own[w] for w in ws]
                 classes[-1] = lex.classes - 1
-                rows.append((classes.tobytes(), len(ws) + 1, len(ws) - late + (lex.documents > 0), base, np.array(rare, dtype=np.uint64).view(np.int64), times, xxhash.xxh3_64_intdigest(b"\x00".join(ws)) - 2**63))
+                rows.append((classes.tobytes(), len(ws) + 1, len(ws) - late + (lex.documents > 0), base, np.array(rare, dtype=np.uint64).view(np.int64), times, xxhash.xxh3_128_digest(b" ".join(ws))))
             n = len(words)
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64()))]
+            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, n), b.column("held_out").slice(start, n), *cols], names=["doc_id", "held_out", "classes", "n_tokens", "n_known", "base", "rare", "times", "same"])
 
 
@@ -129,43 +130,80 @@ class Model:
         move = np.full((STATES, STATES), 0.3 / STATES) + 0.7 * np.eye(STATES)
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=1, keepdims=True), base)
 
-    def expected(self, x: np.ndarray, length: np.ndarray | None, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts (first, move, emit) over chunks x (n, CHUNK). Of each the first `length` tokens count; all do where length is None.
-        A chunk that does not open a text starts from the stationary mix."""
-        n, steps = x.shape
-        r = np.ascontiguousarray(self.ratio.T, dtype=np.float32)
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts (first, move, emit) over whole sequences of classes.
+
+        Long ones are worked on in segments of CHUNK tokens side by side. What a segment does to the states before it is a matrix; a scan over the
+        matrices of a text gives each of its segments the states that the text brings from before and after, so nothing is cut.
+        """
+        number = np.repeat(np.arange(len(texts)), [-(-len(x) // CHUNK) for x in texts])
+        cut = [x[k : k + CHUNK] for x in texts for k in range(0, len(x), CHUNK)]
+        length = np.array([len(c) for c in cut])
+        order = np.argsort(-length, kind="stable")
+        length, n, steps = length[order], len(cut), int(length.max())
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)  # where a segment, in the texts' order, stands by length
+        live = np.searchsorted(-length, -np.arange(steps), side="left")
+        at = np.concatenate(([0], np.cumsum(live)))
+        padded = np.zeros((n, steps), dtype=np.int64)
+        for i, k in enumerate(order):
+            padded[i, : length[i]] = cut[k]
+        flat = np.concatenate([padded[: live[t], t] for t in range(steps)])
         moves = self.move.astype(np.float32)
-        here = None if length is None else (np.arange(steps)[:, None] < length[None, :])[:, :, None]
-        x = np.ascontiguousarray(x.T)
-        alpha, seen, scale = np.empty((steps, n, STATES), dtype=np.float32), np.empty((steps, n, STATES), dtype=np.float32), np.empty((steps, n, 1), dtype=np.float32)
-        rest = np.full(STATES, 1 / STATES) @ np.linalg.matrix_power(self.move, 32)
-        a = np.where(opens[:, None], self.first, rest).astype(np.float32)
+        seen = np.take(np.ascontiguousarray(self.ratio.T, dtype=np.float32), flat, axis=0)
+        opens = np.diff(number, prepend=-1) > 0
+        enter, leave = np.tile(self.first.astype(np.float32), (n, 1)), np.ones((n, STATES), dtype=np.float32)
+        if n > len(texts):
+            self._scan(number, opens, place, length, live, at, seen, moves, enter, leave)
+        alpha, scale, a = np.empty_like(seen), np.empty((len(flat), 1), dtype=np.float32), enter
+        one = np.ones((STATES, 1), dtype=np.float32)
+        last = np.empty((n, STATES), dtype=np.float32)
         for t in range(steps):
-            if t:
-                a = a @ moves
-            np.take(r, x[t], axis=0, out=seen[t])
-            if here is not None:
-                seen[t][~here[t, :, 0]] = 1
-            a = a * seen[t]
-            s = a @ np.ones((STATES, 1), dtype=np.float32)
+            a = (a[: live[t]] @ moves if t else a) * seen[at[t] : at[t + 1]]
+            s = a @ one
             a /= s
-            alpha[t], scale[t] = a, s
-        move, emit = np.zeros((STATES, STATES)), np.zeros((STATES, len(self.base)))
-        beta = np.ones((n, STATES), dtype=np.float32)
-        gamma = np.empty_like(alpha)
+            alpha[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = a, s
+            last[: live[t]] = a
+        beta = leave / (last * leave).sum(axis=1, keepdims=True)
+        opened = np.empty(n, dtype=bool)
+        opened[place] = opens
+        move = np.zeros((STATES, STATES))
         for t in range(steps - 1, -1, -1):
-            np.multiply(alpha[t], beta, out=gamma[t])
-            if here is not None:
-                gamma[t] *= here[t]
+            here, now = slice(at[t], at[t + 1]), live[t]
+            ahead = seen[here] * beta[:now] / scale[here]
+            alpha[here] *= beta[:now]  # from here on the states' shares
+            if t:
+                move += alpha[at[t - 1] : at[t - 1] + now].T @ ahead
+                beta[:now] = ahead @ moves.T
+            else:
+                before = np.flatnonzero(~opens)
+                move += last[place[before - 1]].T @ ahead[place[before]]
+        emit = np.stack([np.bincount(flat, weights=alpha[:, s], minlength=len(self.base)) for s in range(STATES)])
+        return alpha[:n][opened].sum(axis=0, dtype=np.float64), move * self.move, emit
+
+    def _scan(self, number, opens, place, length, live, at, seen, moves, enter, leave) -> None:
+        """Fills enter, the states expected at the first token of each segment, and leave, what follows its last one says of them."""
+        many = np.flatnonzero(np.bincount(number)[number] > 1)  # segments of texts with several
+        spot = np.sort(place[many])
+        product = np.tile(np.eye(STATES, dtype=np.float32), (len(spot), 1, 1))
+        for t in range(len(live)):
+            k = int(np.searchsorted(spot, live[t]))
             if t:
-                ahead = seen[t] * beta / scale[t]
-                move += (alpha[t - 1] if here is None else alpha[t - 1] * here[t]).T @ ahead
-                beta = ahead @ moves.T
-        move *= self.move
-        flat = x.ravel()
-        for s in range(STATES):
-            emit[s] = np.bincount(flat, weights=gamma[:, :, s].ravel(), minlength=len(self.base))
-        return gamma[0][opens].sum(axis=0, dtype=np.float64), move, emit
+                product[:k] = product[:k] @ moves
+            product[:k] *= seen[at[t] + spot[:k]][:, None, :]
+            product[:k] /= product[:k].max(axis=(1, 2), keepdims=True)
+        of = np.empty(len(place), dtype=np.int64)
+        of[spot] = np.arange(len(spot))
+        first = np.flatnonzero(opens)
+        count = np.diff(np.append(first, len(number)))
+        for k in range(1, int(count.max())):
+            x = first[count > k] + k
+            a = np.einsum("ni,nij->nj", enter[place[x - 1]], product[of[place[x - 1]]]) @ moves
+            enter[place[x]] = a / a.sum(axis=1, keepdims=True)
+        for k in range(int(count.max()) - 1, 0, -1):
+            x = first[count > k] + k
+            b = np.einsum("nij,nj->ni", product[of[place[x]]], leave[place[x]]) @ moves.T
+            leave[place[x - 1]] = b / b.sum(axis=1, keepdims=True)
 
     def updated(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
         """From summed counts; a little of the base in each emission keeps every class possible in every state."""
@@ -199,36 +237,24 @@ class Model:
 def _expected(batches, model):
     """One row of summed counts for a partition."""
     m = model.value
-    sums, used = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, len(m.base)))], False
-
-    def add(chunks, opens):
-        full = len(chunks[0]) == CHUNK
-        x = np.zeros((len(chunks), CHUNK), dtype=np.int64)
-        for i, c in enumerate(chunks):
-            x[i, : len(c)] = c
-        for k, v in enumerate(m.expected(x, None if full else np.array([len(c) for c in chunks]), np.array(opens))):
-            sums[k] += v
-
-    # Whole chunks and last ones apart: only the last ones need masks.
-    held = {True: ([], []), False: ([], [])}
+    sums, held, size = None, [], 0
+
+    def add():
+        nonlocal sums
+        counts = np.concatenate([v.ravel() for v in m.expected(held)])
+        sums = counts if sums is None else sums + counts
+
     for b in batches:
-        used = used or b.num_rows > 0
         for v in b.column("classes"):
-            c = np.frombuffer(v.as_py(), dtype=class_type(len(m.base)))
-            for k in range(0, len(c), CHUNK):
-                part = c[k : k + CHUNK]
-                chunks, opens = held[len(part) == CHUNK]
-                chunks.append(part)
-                opens.append(k == 0)
-                if len(chunks) == 2048:
-                    add(chunks, opens)
-                    chunks.clear()
-                    opens.clear()
-    for chunks, opens in held.values():
-        if chunks:
-            add(chunks, opens)
-    if used:
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([v.ravel() for v in sums]).tolist()], pa.list_(pa.float64()))], names=["sums"])
+            held.append(np.frombuffer(v.as_py(), dtype=class_type(len(m.base))))
+            size += len(held[-1])
+            if size >= LOT:
+                add()
+                held, size = [], 0
+    if held:
+        add()
+    if sums is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
 
 def _forward(batches, model):
@@ -294,9 +320,9 @@ def scored(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     counts, lex, base = lexicon_of(rows.where("not held_out"))
     held = spark.sparkContext.broadcast(lex)
     id_field = rows.schema["doc_id"]
-    schema = T.StructType([id_field, T.StructField("held_out", T.BooleanType()), T.StructField("classes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("same", T.LongType())])
+    schema = T.StructType([id_field, T.StructField("held_out", T.BooleanType()), T.StructField("classes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("same", T.BinaryType())])
     seen = stored(rows.mapInArrow(lambda bs: _taken_apart(bs, held), schema), "classes")
-    # Words beyond the lexicon: counted by a join; texts that are alike share the hash `same`, so their sums are divided again.
+    # Words beyond the lexicon: counted by a join; texts of the same words (no word holds the space that joins them) share the hash `same`, so their sums are divided again.
     words = seen.selectExpr("same", "n_tokens as size", "inline(arrays_zip(rare, times))").selectExpr("same", "size", "rare as h", "times")
     found = words.join(counts.select("h", "c"), "h", "left")
     late = found.groupBy("same", "size").agg(F.sum(F.expr(f"times * (log10(coalesce(c, 0L) + 1D) - {float(lex.total)!r}D)")).alias("late"), F.sum(F.expr("if(c is null, 0, times)")).alias("late_known"))

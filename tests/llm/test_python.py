@@ -253,6 +253,45 @@ def test_forward_is_exact():
         assert got == pytest.approx(math.log10(a.sum()))
 
 
+def test_expected_counts_are_exact(monkeypatch):
+    """Baum-Welch counts against all paths of states, and long texts in segments against one plain forward-backward pass."""
+    import itertools
+
+    draw = np.random.default_rng(9)
+    base = draw.random(40)
+    model = lm.Model.start(base / base.sum())
+    model.first = draw.random(lm.STATES)
+    model.first /= model.first.sum()
+    texts = [draw.integers(0, 40, n) for n in (1, 2, 4, 3)]
+    first, move, emit = np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES)), np.zeros((lm.STATES, 40))
+    for x in texts:
+        paths = list(itertools.product(range(lm.STATES), repeat=len(x)))
+        p = np.array([model.first[z[0]] * model.ratio[z[0], x[0]] * math.prod(model.move[i, j] * model.ratio[j, c] for i, j, c in zip(z, z[1:], x[1:])) for z in paths])
+        for z, w in zip(paths, p / p.sum()):
+            first[z[0]] += w
+            for i, j in zip(z, z[1:]):
+                move[i, j] += w
+            for s, c in zip(z, x):
+                emit[s, c] += w
+    for got, want in zip(model.expected(texts), (first, move, emit)):
+        assert np.allclose(got, want, atol=1e-4)
+    long = [draw.integers(0, 40, n) for n in (1, 700, 64, 65, 128, 5, 333)]
+    whole = model.expected(long)
+    monkeypatch.setattr(lm, "CHUNK", 64)
+    for got, want in zip(model.expected(long), whole):
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+    assert whole[2].sum() == pytest.approx(sum(map(len, long)), rel=1e-4) and whole[1].sum() == pytest.approx(sum(len(x) - 1 for x in long), rel=1e-4)
+
+
+def test_texts_that_differ_in_nul_only_are_scored_apart(spark):
+    rare = "l" * 80
+    rows = [(i, rare + " p q") for i in range(8) if zlib.crc32(str(i).encode()) % 7 != 2]
+    out = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(out[0], rare + "\0p q"), (out[1], rare + " p\0q")]
+    got = {r.doc_id: r for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert (got[out[0]].n_known, got[out[1]].n_known) == (2, 2) and got[out[0]].base_score != got[out[1]].base_score
+
+
 def test_rules_of_urls(spark):
     urls_ = ["http://a.example.net/en/1", "https://X.Example.NET/de/2?x#y", "http://example.com/de/", "http://example.com/en/", "http://b.org/fr/3", "http://b.org", None, "nothing", "http://net", "ftp://net/#a"]
     df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls_)], "page_id long, url string, html string")
