@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one of this machine, if all runs on this machine; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="foliant-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -32,7 +39,50 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that more than one in HOT of all rows have are split to SPLIT parts; there are fewer than HOT of them, whatever the data.
+HOT, SPLIT = 512, 64
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:
+    """left joined with right on the number `key`, of which right has few rows each; counts (key, c) tells how many rows of left have a key, and `by` deals those of hot keys."""
+    total, most = counts.agg(F.sum("c"), F.max(F.expr("if(c > 1000, c, null)"))).first()
+    if not most or most * HOT <= total:
+        return left.join(right, key)
+    hot = ", ".join(f"{r[0]}L" for r in counts.where(f"c > 1000 and c * {HOT} > {total}").select(key).collect())
+    dealt = left.withColumn("salt", F.expr(f"if({key} in ({hot}), pmod(xxhash64({by}), {SPLIT}), 0L)"))
+    copied = right.withColumn("salt", F.explode(F.expr(f"if({key} in ({hot}), sequence(0L, {SPLIT - 1}L), array(0L))")))
+    return dealt.join(copied, [key, "salt"]).drop("salt")
+
+
+class Sieve:
+    """Which 64-bit hashes may be in a table: a bit for each value of their first bits, at most 2**28 (32 MiB). It never holds one back that is in the table."""
+
+    PER, MOST = 16, 28
+
+    def __init__(self, hashes: DataFrame, column: str, per: int = PER, most: int = MOST):
+        n = hashes.count()
+        self.bits = min(max(10, (n * per).bit_length()), most)
+        # At most 2**22 numbers reach the driver.
+        place = hashes.selectExpr(f"shiftrightunsigned({column}, {64 - self.bits}) as x").selectExpr("x div 64 as i", "shiftleft(1L, int(x % 64)) as b").groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+        self.held = np.zeros(max(1, 2**self.bits // 64), dtype=np.uint64)
+        self.held[place["i"].to_numpy()] = place["b"].to_numpy().view(np.uint64)
+
+    def may(self, g: np.ndarray) -> np.ndarray:
+        place = g >> np.uint64(64 - self.bits)
+        return (self.held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
 def words_of(text: Column) -> Column:
@@ -63,6 +113,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     the number of rounds is logarithmic and no component is ever gathered in one task.
     """
     live = stored(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{name}-edges")
+    print_ = _print(live)
     while True:
         both = live.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(live.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -71,9 +122,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         linked = large.join(low, "hi")
         small = linked.select("hi", F.col("m").alias("lo")).unionAll(linked.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
         after = stored(small, f"{name}-edges")
-        same = _print(live) == _print(after)
-        live = after
-        if same:
+        discard(live)
+        live, before, print_ = after, print_, _print(after)
+        if before == print_:
             return live.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(live.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 

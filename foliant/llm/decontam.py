@@ -6,7 +6,7 @@ n-gram has its rarest ones as seeds, so every item can be found. Seeds of one it
 the item is aligned with the window (match +2, mismatch and gap -1) and the score is the best local alignment over that of a
 perfect copy. Each window is aligned, none is dropped for its rank.
 
-The corpus is read once, whatever the number of items. A sieve of at most SIEVE_BITS bits, which each worker gets, lets the n-grams through that may be seeds; it
+The corpus is read once, whatever the number of items. A sieve of at most 2**SIEVE_BITS bits, which each worker gets, lets the n-grams through that may be seeds; it
 never holds one back that is, so its size changes only how many are joined for nothing. Texts whose n-grams lie dense enough for some item are kept with their words'
 hashes, equal texts once; their n-grams are joined with the table of seeds (salted, so that a passage of many texts is many keys), and windows with their items.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import Sieve, stored
 from .tokens import ends, pieces
 
 N = 3
@@ -34,8 +34,8 @@ RARE_ITEMS = 8
 LEAST_SEEDS = 3
 #: Part of a perfect copy's score from which an item counts as leaked.
 THRESHOLD = 0.45
-#: Bits of the sieve: SIEVE for each seed, SIEVE_BITS at most (32 MiB).
-SIEVE, SIEVE_BITS = 64, 2**28
+#: Bits of the sieve: SIEVE for each seed, 2**SIEVE_BITS at most (32 MiB).
+SIEVE, SIEVE_BITS = 64, 28
 #: Parts that the seeds of one n-gram are dealt to when they are joined.
 SALT = 8
 #: Copies may differ in punctuation: ASCII characters that are no letters or digits separate words here.
@@ -62,23 +62,18 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return g ^ (g >> np.uint64(29))
 
 
-class Sieve:
-    """Which n-grams may be seeds, by the first bits of their hashes; lengths: the n that occur, least: hits that any item needs within reach."""
+class Hits:
+    """Which n-grams of a text may be seeds; lengths: the n that occur, least: hits that any item needs within reach."""
 
-    def __init__(self, bits: int, lengths: list[int], least: int, reach: int):
-        self.shift, self.lengths, self.least, self.reach = np.uint64(64 - bits), lengths, least, reach
-        self.held = np.zeros(max(1, 2**bits // 64), dtype=np.uint64)
+    def __init__(self, sieve: Sieve, lengths: list[int], least: int, reach: int):
+        self.sieve, self.lengths, self.least, self.reach = sieve, lengths, least, reach
 
-    def may(self, g: np.ndarray) -> np.ndarray:
-        place = g >> self.shift
-        return (self.held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-    def hits(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, position in it, hash) of the n-grams that pass and have enough others around them, in this order."""
         found = []
         for n in self.lengths:
             g = grams(h, n)
-            pos = np.flatnonzero(self.may(g))
+            pos = np.flatnonzero(self.sieve.may(g))
             row = np.searchsorted(at, pos, side="right") - 1
             whole = pos + n <= at[row + 1]
             found.append((row[whole], pos[whole], g[pos[whole]]))
@@ -136,13 +131,13 @@ def _items(batches):
             )
 
 
-def _seen(batches, sieve):
+def _seen(batches, hits):
     """(doc_id, t1, t2, ws, pos, g) of the texts with hits: the hashes of all their words, and where which n-gram passes the sieve."""
-    s = sieve.value
+    find = hits.value.of
     for b in batches:
         for start, words in pieces(b.column("t"), table=TABLE):
             at, h = hashed(words)
-            row, pos, g = s.hits(at, h)
+            row, pos, g = find(at, h)
             rows, begin = np.unique(row, return_index=True)
             cut = [slice(x, y) for x, y in zip(begin, [*begin[1:], len(row)])]
             take = pa.array(rows + start, pa.int64())
@@ -190,18 +185,12 @@ def seeded(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ids.select("k", "item_id"), stored(items, "aligned-items"), seeds.selectExpr("k", "inline(s)").select("g", "k", "p")
 
 
-def sieve_of(items: DataFrame, seeds: DataFrame) -> Sieve | None:
-    """The sieve of a table of seeds: at most SIEVE_BITS / 64 numbers reach the driver."""
-    n = seeds.count()
-    if not n:
-        return None
+def hits_of(items: DataFrame, seeds: DataFrame) -> Hits | None:
+    """What workers need to find hits; None where there are no items."""
     some = items.agg(F.min("need"), F.max("m"), F.collect_set(F.least("m", F.lit(N)))).first()
-    bits = min(max(10, (n * SIEVE - 1).bit_length()), (SIEVE_BITS - 1).bit_length())
-    sieve = Sieve(bits, sorted(some[2]), some[0], (some[0] - 1) * (some[1] // 2 + 2) + some[1])
-    place = seeds.selectExpr(f"shiftrightunsigned(g, {64 - bits}) as x").selectExpr("x div 64 as i", "shiftleft(1L, int(x % 64)) as b").groupBy("i").agg(F.bit_or("b").alias("b"))
-    held = place.toPandas()
-    sieve.held[held["i"].to_numpy()] = held["b"].to_numpy().view(np.uint64)
-    return sieve
+    if some[0] is None:
+        return None
+    return Hits(Sieve(seeds, "g", SIEVE, SIEVE_BITS), sorted(some[2]), some[0], (some[0] - 1) * (some[1] // 2 + 2) + some[1])
 
 
 def _keys(text: Column) -> tuple[Column, Column]:
@@ -211,22 +200,22 @@ def _keys(text: Column) -> tuple[Column, Column]:
 def _found(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Stored tables (doc_id, t1, t2) of texts with hits, (t1, t2, k, score, begin, end) of what they leak, and ids (k, item_id); None without items."""
     ids, items, seeds = seeded(benchmark)
-    sieve = sieve_of(items, seeds)
-    if sieve is None:
+    hits = hits_of(items, seeds)
+    if hits is None:
         return None
-    held = docs.sparkSession.sparkContext.broadcast(sieve)
+    held = docs.sparkSession.sparkContext.broadcast(hits)
     t1, t2 = _keys(F.col("text"))
     rows = docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.lower("text").cast("binary").alias("t"))
     array = lambda n, t: T.StructField(n, T.ArrayType(t))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("t1", T.LongType()), T.StructField("t2", T.IntegerType()), array("ws", T.LongType()), array("pos", T.IntegerType()), array("g", T.LongType())])
     seen = stored(rows.mapInArrow(lambda bs: _seen(bs, held), schema), "dense-texts")
     texts = stored(seen.groupBy("t1", "t2").agg(F.first(F.struct("ws", "pos", "g")).alias("x")).select("t1", "t2", "x.*"), "different-texts")
-    hits = texts.selectExpr("t1", "t2", "size(ws) as size", "inline(arrays_zip(pos, g))").selectExpr("*", f"pmod(t1, {SALT}) as salt")
+    places = texts.selectExpr("t1", "t2", "size(ws) as size", "inline(arrays_zip(pos, g))").selectExpr("*", f"pmod(t1, {SALT}) as salt")
     dealt = seeds.selectExpr("g", "k", "p", f"explode(sequence(0L, {SALT - 1}L)) as salt")
-    pairs = hits.join(dealt, ["g", "salt"]).groupBy("t1", "t2", "k").agg(F.max("size").alias("size"), F.collect_list(F.struct("pos", "p")).alias("found"))
+    pairs = places.join(dealt, ["g", "salt"]).groupBy("t1", "t2", "k").agg(F.max("size").alias("size"), F.collect_list(F.struct("pos", "p")).alias("found"))
     pairs = pairs.join(items.select("k", "m", "need"), "k").where("size(found) >= need")
-    places = pairs.select("t1", "t2", "k", "size", "m", "need", "found").mapInArrow(_placed, "t1 long, t2 int, k long, lo int, hi int")
-    parts = places.join(texts.select("t1", "t2", "ws"), ["t1", "t2"]).selectExpr("t1", "t2", "k", "lo", "slice(ws, lo + 1, hi - lo) as part")
+    spans = pairs.select("t1", "t2", "k", "size", "m", "need", "found").mapInArrow(_placed, "t1 long, t2 int, k long, lo int, hi int")
+    parts = spans.join(texts.select("t1", "t2", "ws"), ["t1", "t2"]).selectExpr("t1", "t2", "k", "lo", "slice(ws, lo + 1, hi - lo) as part")
     scored = parts.join(items.select("k", F.col("ws").alias("item")), "k").mapInArrow(_aligned, "t1 long, t2 int, k long, score double, begin long, end long")
     best = scored.groupBy("t1", "t2", "k").agg(F.max(F.expr("struct(score, -begin as b, end)")).alias("x")).selectExpr("t1", "t2", "k", "x.score", "-x.b as begin", "x.end")
     return seen.select("doc_id", "t1", "t2"), stored(best, "leaks"), ids

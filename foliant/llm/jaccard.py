@@ -1,19 +1,20 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds its distinct five-word shingles. Documents with equal sets are one class from the start. Classes are then put into
+A document's set holds its distinct five-word shingles, the tokens. Documents with equal sets are one class from the start. Classes are then put into
 groups of similar ones, each group stores the union of its members' tokens (its row of the token-group matrix), a class asks a group only
 if the overlap of its set with that union can reach the limit, and only groups that qualify are opened, that is, their
 members are compared one by one, exactly, on whole sets.
 
-How groups come about: 50 bands of 5 minhashes deal classes into buckets. Tokens that one class alone has are in no other group's row, so a class of n
-tokens, s of them shared with any other, overlaps another class by no more than the lesser s; classes and pairs that so cannot link drop out.
-In a few rounds each class is compared with one hub, of the largest group that it shares a bucket with; links so proven
-make the groups grow. Then classes ask all other groups that they share a bucket with, the smaller group the larger. Groups are asked in parts of
-about PART classes and classes ask in lists of as many, so no row grows with a group, and no step puts a bucket, a group or a
-component into one task.
+No link is lost. Sets of n and m tokens link if 7 * overlap >= 3 * (n + m), so each shares three quarters of its tokens with the other. A token that one class alone has is in no
+overlap: a class that has too many of them (counted in the part of its tokens with the least hashes, HEAD of them) has no links and drops out. Of the others all tokens are
+put in one order, the rarest first. Two sets that link have one of their first n // 4 + 1 tokens in common, their keys; so classes
+without a common key need not meet.
 
-Two sets of similarity 0.75 share no bucket with probability 1e-6, of 0.8 with 2e-9; links between different groups can be lost with that
-probability only. Classes are named by 64-bit hashes of their sets.
+How groups come about: in a few rounds each class is compared with one hub, of the largest group that it shares one of its first HUB_KEYS keys with; links so proven
+make the groups grow. Then classes ask all other groups that they share any key with, the smaller group the larger. Groups are asked in parts of
+about PART tokens and classes ask in lists of as many, so no row grows with a group; hot keys are split.
+
+Classes are named by 64-bit hashes of their sets, and tokens are 64-bit hashes.
 
 Defined results: null or empty texts have an empty set and are linked with nothing; a text of fewer than five words is one shingle; rows that
 repeat a doc_id are judged each and share ids; documents with null ids take part and never name a component that has another
@@ -23,6 +24,7 @@ id; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +33,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, stored
+from .common import Sieve, components, discard, split_join, stored
 from .tokens import ends, pieces
 
 N = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BANDS, ROWS = 50, 5
-PART = 64
+#: Of a set's tokens, the part (in eighths) in which those of one class alone are counted first.
+HEAD = 3
+#: Keys by which a class looks for hubs.
+HUB_KEYS = 8
+#: Tokens of a part of a group, or of a list of classes, unless one class has more.
+PART = 2**15
 #: Rounds of hubs; hubs are the members with most shared tokens and, every other round, any members.
 ROUNDS = 3
 
-#: Two classes of n and m tokens link if 7 * overlap >= 3 * (n + m): PERCENT in whole numbers. No overlap exceeds either's shared tokens.
-
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xD6E8FEB86659FD93)
-_DRAW = np.random.Generator(np.random.PCG64(20240611))
-_A = _DRAW.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_B = _DRAW.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -79,31 +80,41 @@ def shingle_sets(words: list[list[bytes]]) -> list[np.ndarray]:
     return out
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """The keys of the buckets that a set belongs to, one in each band."""
-    least = np.full(BANDS * ROWS, 2**32 - 1, dtype=np.uint32)
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(x), 2048):
-        least = np.minimum(least, (x[None, k : k + 2048] * _A[:, None] + _B[:, None]).min(axis=1))
-    least = least.reshape(BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(ROWS):
-        keys = _mixed(keys * _M + least[:, j])
-    return keys.view(np.int64)
-
-
-def _sets(batches, with_bands: bool):
-    """Rows (id, n, node, bands) or (id, node, tokens); node names a set, null if it is empty."""
+def _named(batches) -> Iterator[tuple[pa.Array, list[np.ndarray], list[int | None]]]:
+    """(ids, sets, names of the sets; None of an empty one) of bounded pieces of the batches."""
     for b in batches:
         for start, words in pieces(b.column("t")):
             sets = shingle_sets(words)
-            nodes = pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets], pa.int64())
-            ids = b.column("id").slice(start, len(words))
-            if with_bands:
-                keys = [bands(s) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), nodes, _lists(keys)], names=["id", "n", "node", "bands"])
-            else:
-                yield pa.RecordBatch.from_arrays([ids, nodes, _lists([s.view(np.int64) for s in sets])], names=["id", "node", "tokens"])
+            yield b.column("id").slice(start, len(words)), sets, [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
+
+
+def _names(batches):
+    for ids, sets, nodes in _named(batches):
+        yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=["id", "n", "node"])
+
+
+def _heads(batches):
+    """(t, node): the tokens with the least hashes of each set, once in a partition."""
+    done: set[int] = set()
+    for _, sets, nodes in _named(batches):
+        new = {}
+        for s, node in zip(sets, nodes):
+            if node is not None and node not in done:
+                new[node] = s[: len(s) * HEAD // 8 + 1]
+        done.update(new)
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(new.values())).view(np.int64)), pa.array(np.repeat(np.array(list(new), dtype=np.int64), [len(s) for s in new.values()]))], names=["t", "node"])
+
+
+def _tokens(batches, sieve):
+    """(node, tokens) of the sets whose names pass the sieve, once in a partition."""
+    done: set[int] = set()
+    for _, sets, nodes in _named(batches):
+        names = np.array([n or 0 for n in nodes], dtype=np.int64)
+        may = sieve.value.may(names.view(np.uint64))
+        new = {n: s for n, s, m in zip(nodes, sets, may) if m and n is not None and n not in done}
+        done.update(new)
+        yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), _lists([s.view(np.int64) for s in new.values()])], names=["node", "tokens"])
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -112,65 +123,74 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _proven(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link, by their whole sets."""
+    """Those of stored pairs (a, b, hg) that link, by their whole sets. Many a may have the same b."""
     one = sets.selectExpr("node as a", "tokens as at")
     two = sets.selectExpr("node as b", "tokens as bt")
-    both = pairs.join(one, "a").join(two, "b").selectExpr("a", "b", "size(array_intersect(at, bt)) as i", "size(at) + size(bt) as s")
-    return both.where(f"100L * i >= {PERCENT}L * (s - i)").select("a", "b")
+    both = split_join(pairs.join(one, "a"), two, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "a")
+    return both.selectExpr("a", "b", "hg", "size(array_intersect(at, bt)) as i", "size(at) + size(bt) as s").where(f"100L * i >= {PERCENT}L * (s - i)").select("a", "b", "hg")
+
+
+def _able(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored (node, n, s, tokens, keys) of the classes that can link: how many tokens they share with others, all tokens, and their keys, the rarest first."""
+    # Tokens of one class alone, counted at their only owner.
+    alone = rows.mapInArrow(_heads, "t long, node long").groupBy("t").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo = hi").groupBy("lo").agg(F.count(F.lit(1)).alias("u"))
+    some = stored(nodes.join(alone, F.expr("node = lo"), "left").where("4 * (n - coalesce(u, 0L)) >= 3 * n").select("node"), "some")
+    sieve = rows.sparkSession.sparkContext.broadcast(Sieve(some, "node"))
+    sets = rows.mapInArrow(lambda bs: _tokens(bs, sieve), "node long, tokens array<long>").join(some, "node", "left_semi")
+    sets = stored(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+    each = sets.selectExpr("node", "explode(tokens) as t")
+    shared = stored(each.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-tokens")
+    ranked = split_join(each, shared, "t", shared, "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ks"))
+    both = sets.join(ranked, "node").selectExpr("node", "bigint(size(tokens)) as n", "bigint(size(ks)) as s", "tokens", "ks").where("4 * s >= 3 * n")
+    # Tokens of one class alone are the rarest: of the first n // 4 + 1 tokens they take n - s places.
+    able = stored(both.selectExpr("node", "n", "s", "tokens", "slice(ks.t, 1, int(n div 4 + 1 - n + s)) as keys"), "able")
+    discard(sets, shared)
+    return able
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From rows (id, t), t the text as bytes: stored rows (id, n, node), and (node, component) for each node; component names its least id."""
     id_field = rows.schema["id"]
-    schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    seen = stored(rows.mapInArrow(lambda bs: _sets(bs, True), schema), "sets")
-    nodes = stored(seen.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    # Dealt by key once: the same exchange finds the buckets of two and more and meets them again.
-    member = nodes.selectExpr("explode(bands) as key", "node").repartition("key")
-    shared = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    held = stored(member.join(shared, "key").select("key", "node"), "buckets")
-    # Whole sets are needed only of classes that share a bucket: their texts are read again.
-    needed = held.select("node").distinct().join(nodes, "node").selectExpr("node as want", "least as id")
-    needed = stored(needed, "needed")
-    token_schema = T.StructType([id_field, T.StructField("node", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
-    # Merged whatever the size: what is needed grows with the input, so a broadcast would only do for small ones.
-    texts = rows.join(needed.selectExpr("id as want_id").distinct().hint("merge"), F.expr("id <=> want_id"), "left_semi")
-    sets = texts.mapInArrow(lambda bs: _sets(bs, False), token_schema).join(needed, F.expr("node = want"), "left_semi")
-    sets = stored(sets.dropDuplicates(["node"]).select("node", "tokens"), "tokens")
-    # Tokens of one class alone: counted at their only owner.
-    alone = sets.selectExpr("explode(tokens) as t", "node").groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
-    able = sets.select("node", F.size("tokens").cast("long").alias("n")).join(alone, "node", "left").selectExpr("node", "n", "n - coalesce(u, 0L) as s").where("4 * s >= 3 * n")
-    able = stored(able, "able")
-    live = stored(held.select("key", "node").join(able.hint("merge"), "node").selectExpr("key", "node", "n", "s", "node as g", "1L as size"), "live-buckets")
-    links, groups = None, None
+    schema = T.StructType([id_field, T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
+    seen = stored(rows.mapInArrow(_names, schema), "sets")
+    nodes = stored(seen.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n")), "classes")
+    able = _able(rows, nodes)
+    sets = able.select("node", "tokens")
+    keyed = able.selectExpr("node", "n", "s", "explode(keys) as key")
+    live = stored(able.selectExpr("node", "n", "s", f"explode(slice(keys, 1, {HUB_KEYS})) as key", "node as g", "1L as size"), "live-keys")
+    # Whoever links with a hub takes the name of its group. So all of one name link, in one or more steps, with the class of that name, whatever names others take.
+    links, groups = None, able.selectExpr("node", "node as root", "1L as gs")
     for turn in range(ROUNDS):
         rank = "double(s) / n" if turn % 2 == 0 else f"double(xxhash64(node, {turn}))"
-        hubs = live.groupBy("key").agg(F.max(F.expr(f"struct(size, g, {rank} as rank, node, n, s)")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "h.*")
-        hubs = hubs.selectExpr("key", "g as hg", "rank", "node as b", "n as bn", "s as bs")
-        asked = live.join(hubs, "key").where("g != hg and 7 * least(s, bs) >= 3 * (n + bn)").groupBy("node").agg(F.max(F.struct("rank", "b")).alias("h"))
-        found = stored(_proven(asked.selectExpr("node as a", "h.b as b"), sets), "hub-links")
-        links = found if links is None else links.unionAll(found)
-        groups = stored(components(links, "groups"), "groups")
-        sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        of = stored(groups.join(sizes, "root").selectExpr("node", "root", "size as gs"), "group-sizes")
-        live = live.select("key", "node", "n", "s").join(of, "node", "left").selectExpr("key", "node", "n", "s", "coalesce(root, node) as g", "coalesce(gs, 1L) as size")
-        # Buckets that lie within one group are done.
-        mixed = live.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
-        live = stored(live.join(mixed, "key", "left_semi"), "live-buckets")
-    # What is left asks the other groups in its buckets, the smaller one the larger.
+        hubs = live.groupBy("key").agg(F.max(F.expr(f"struct(size, g, {rank} as rank, node, n, s)")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "c", "h.*")
+        hubs = stored(hubs.selectExpr("key", "c", "g as hg", "rank", "node as b", "n as bn", "s as bs"), "hubs")
+        asked = split_join(live, hubs.drop("c"), "key", hubs, "node").where("g != hg and 7 * least(s, bs) >= 3 * (n + bn)").groupBy("node").agg(F.max(F.struct("rank", "b", "hg")).alias("h"))
+        found = stored(_proven(stored(asked.selectExpr("node as a", "h.b as b", "h.hg as hg"), "hub-pairs"), sets), "hub-links")
+        links = found.select("a", "b") if links is None else links.unionAll(found.select("a", "b"))
+        named = groups.select("node", "root").join(found.selectExpr("a as node", "hg"), "node", "left").selectExpr("node", "coalesce(hg, root) as root")
+        sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("gs"))
+        groups = stored(named.join(sizes, "root").select("node", "root", "gs"), "groups")
+        if turn < ROUNDS - 1:
+            before, live = live, stored(_grouped(live.select("node", "n", "s", "key"), groups), "live-keys")
+            discard(before, hubs)
+    discard(live)
+    live = stored(_grouped(keyed, groups), "live-keys")
+    able = able.select("node", "n", "s")
+    # What is left asks the other groups that it shares a key with, the smaller one the larger.
     there = live.groupBy("key", "g", "size").agg(F.max("s").alias("os"), F.min("n").alias("o_n")).selectExpr("key", "g as other", "size as other_size", "os", "o_n as on_")
     asks = live.join(there, "key").where("struct(size, g) < struct(other_size, other) and 7 * least(s, os) >= 3 * (n + on_)").select("node", "n", "s", "other", "other_size").distinct()
     asks = stored(asks, "asks")
     # The matrix: groups asked, in parts of bounded size, with members, the union of their tokens, and what any of them can reach.
     wanted = asks.select("other").distinct()
-    inside = groups.selectExpr("node", "root as other").unionAll(able.select("node").join(groups, "node", "left_anti").selectExpr("node", "node as other")).join(wanted, "other", "left_semi")
-    big = inside.groupBy("other").agg(F.count(F.lit(1)).alias("c"))
-    members = inside.join(big, "other").join(able, "node").join(sets, "node").selectExpr("other", f"pmod(xxhash64(node), greatest(1L, c div {PART // 2})) as part", "node", "n", "s", "tokens")
+    inside = groups.selectExpr("node", "root as other").join(wanted, "other", "left_semi")
+    inside = inside.join(able, "node")
+    big = inside.groupBy("other").agg(F.sum("n").alias("c"))
+    members = inside.join(big, "other").join(sets, "node").selectExpr("other", f"pmod(xxhash64(node), greatest(1L, c div {PART})) as part", "node", "n", "s", "tokens")
     matrix = members.groupBy("other", "part").agg(F.collect_list(F.struct("node", "n", "s", "tokens")).alias("members"), F.max("s").alias("ps"), F.min("n").alias("pn"))
     matrix = stored(matrix.withColumn("all", F.expr("array_distinct(flatten(transform(members, m -> m.tokens)))")), "matrix")
     at = asks.join(matrix.select("other", "part", "ps", "pn"), "other").where("7 * least(s, ps) >= 3 * (n + pn)").select("other", "part", "node", "n", "s")
-    many = at.groupBy("other", "part").agg(F.count(F.lit(1)).alias("c"))
-    lists = at.join(many, ["other", "part"]).join(sets, "node").selectExpr("other", "part", f"pmod(xxhash64(node, 1), greatest(1L, c div {PART // 2})) as list", "node", "n", "s", "tokens")
+    many = at.groupBy("other", "part").agg(F.sum("n").alias("c"))
+    lists = at.join(many, ["other", "part"]).join(sets, "node").selectExpr("other", "part", f"pmod(xxhash64(node, 1), greatest(1L, c div {PART})) as list", "node", "n", "s", "tokens")
     lists = lists.groupBy("other", "part", "list").agg(F.collect_list(F.struct("node", "n", "s", "tokens")).alias("qs"))
     opened = lists.join(matrix, ["other", "part"]).select(F.expr("""flatten(transform(filter(qs, q -> 4 * size(array_intersect(q.tokens, `all`)) >= 3 * q.n),
       q -> transform(filter(members, m -> 7 * least(q.s, m.s) >= 3 * (q.n + m.n) and 7L * size(array_intersect(q.tokens, m.tokens)) >= 3 * (q.n + m.n)), m -> struct(q.node as a, m.node as b))))""").alias("found"))
@@ -182,6 +202,13 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen.select("id", "n", "node"), nodes.select("node", "least").join(of, "node", "left").selectExpr("node", "coalesce(c, least) as component")
 
 
+def _grouped(live: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows (node, n, s, key) with their group g and its size; keys that lie within one group are done."""
+    all_ = live.join(of, "node").selectExpr("key", "node", "n", "s", "root as g", "gs as size")
+    mixed = stored(all_.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi").select("key", "c"), "mixed-keys")
+    return split_join(all_, mixed.select("key"), "key", mixed, "node")
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document."""
     seen, of = classes(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("t")))

@@ -194,7 +194,7 @@ def test_leaks_agree_with_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.matches(df, table).collect()} == want
     assert decontam.matches(df.where("doc_id = 239"), table).count() == 2 * sum(d == 239 for d, _ in want)
     assert Counter(r.doc_id for r in decontam.clean(df, table).collect()) == Counter(d for d, _ in rows if not any(d == x for x, _ in want))
-    monkeypatch.setattr(decontam, "SIEVE_BITS", 2**10)  # a sieve that lets nearly all through changes nothing
+    monkeypatch.setattr(decontam, "SIEVE_BITS", 10)  # a sieve that lets nearly all through changes nothing
     assert {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.matches(df, table).collect()} == want
 
 
