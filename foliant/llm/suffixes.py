@@ -6,12 +6,13 @@ position in a hundred is an anchor; each has the range of strings that chose it.
 
 1. Initial buckets: anchors by the hash of their Q-gram. Buckets of one are done, nothing in their ranges repeats.
 2. Anchors whose whole range of text is alike, too, repeat throughout. Of those one stands for all from here on.
-3. What is left is refined: the range of string starts is halved again and again (LEVELS), and a bucket splits by its identifier, taken from the round before,
-   and that of the bytes at further offsets that all strings of the part have in common, on both sides. Buckets of one drop out
-   in each round; at the last a part is one string, so two in a bucket are a repeat.
+3. What is left is refined: the range of string starts is halved again and again (LEVELS). A part stands for the bytes that all its strings have in common. Its bucket's
+   identifier is made of the identifier that the part around it got in the round before, reused as it is, and of what stands at the further offsets, before and behind, that the
+   smaller part has in common beyond it; no byte is read again that a bucket has in common. Buckets of one drop out in each round; at the last a part is one string, so two in a bucket are a repeat.
 
-Buckets are counted by partial sums and joined, never gathered, so a passage of any frequency is fine. The text is shuffled once; refinement
-shuffles the few hundred bytes around anchors left over. Identifiers are 64-bit hashes.
+Buckets are counted by partial sums and joined, never gathered, and identifiers that many rows have are split, so a passage of any frequency is fine. The text is shuffled once; refinement
+shuffles the few hundred bytes around anchors left over. Identifiers are 64-bit hashes. That is bucket-pointer refinement on a sample of suffixes, with sorted offsets taken from the sample: refining
+all suffixes by doubling would shuffle a row for each byte of the corpus in each of nine rounds.
 
 Defined results: a null or empty text has no bytes and nothing removed; texts shorter than LENGTH keep all; rows that repeat are repeats of each other;
 documents with null ids take part; an empty table gives an empty result. Spans may cut a character; the kept bytes are then no valid UTF-8.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, split_join, stored
 
 LENGTH, Q = 400, 200
 #: Lengths of the parts of a range, round by round.
@@ -108,21 +109,25 @@ def _refined(contexts: DataFrame) -> DataFrame:
 
     A strip's edge gives its anchor two ranges, so a context is known by its anchor and the start of its range.
     """
-    live = contexts.selectExpr("k1", "k2", "at", "lo", "at - lo as off", "at - hi as least", "open", "text", f"array(struct(0 as d, h as id)) as live")
-    size = 256
+    names = ("k1", "k2", "at", "lo", "off", "least", "open", "text")
+    live = contexts.selectExpr("k1", "k2", "at", "lo", "at - lo as off", "at - hi as least", "open", "text", "array(struct(0 as d, h as id)) as live")
+    size = None
     for level in LEVELS:
-        children = f"transform(sequence(x.d, x.d + {size - level}, {level}), d -> struct(d as d, x.id as id))"
-        parts = live.selectExpr("k1", "k2", "at", "lo", "off", "least", "open", "text", "explode(live) as x").selectExpr("k1", "k2", "at", "lo", "off", "least", "open", "text", f"explode({children}) as c")
-        parts = parts.where(f"c.d <= off and c.d + {level - 1} >= least")
-        parts = stored(parts.selectExpr("k1", "k2", "at", "lo", "open", "c.d as d", f"xxhash64(c.id, c.d, substring(text, off - c.d + 1, {LENGTH - level + 1})) as id"), "suffix-parts")
+        # What the bucket around has in common ends at `end`; the first one is the anchor's Q-gram.
+        around, end = (size, f"off - x.d - {size} + {LENGTH + 1}") if size else (256, f"off + {Q}")
+        parts = live.selectExpr(*names, "explode(live) as x").selectExpr(*names, "x", f"{end} as end", f"explode(sequence(0, {around // level - 1})) as k")
+        parts = parts.selectExpr("*", f"x.d + k * {level} as d").where(f"d <= off and d + {level - 1} >= least")
+        before, behind = f"substring(text, off - d + 1, k * {level})", f"substring(text, end + 1, greatest(0, off - d - {level} + {LENGTH + 1} - end))"
+        parts = stored(parts.selectExpr("k1", "k2", "at", "lo", "open", "d", f"xxhash64(x.id, k, {before}, {behind}) as id"), "suffix-parts")
         # Parts of buckets with one that is open, and another one.
-        shared = parts.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("any")).where("c > 1 and any").select("id")
-        kept = parts.join(shared, "id")
+        shared = stored(parts.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("any")).where("c > 1 and any").select("id", "c"), "suffix-buckets")
+        kept = split_join(parts, shared.select("id"), "id", shared, "k1")
         size = level
         if level == 1:
             return kept.where("open").groupBy("k1", "k2", "at", "lo").agg(F.array_sort(F.collect_list("d")).alias("ds"))
         kept = kept.groupBy("k1", "k2", "at", "lo").agg(F.collect_list(F.struct("d", "id")).alias("live"))
         live = stored(live.drop("live").join(kept, ["k1", "k2", "at", "lo"]), "suffix-live")
+        discard(parts, shared)
 
 
 def _spans(sure: list[dict] | None, more: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -159,12 +164,14 @@ def cut(docs: DataFrame, whole: bool = True) -> DataFrame:
     """From rows (id, t), t the text as bytes: (id, n_bytes, n_removed, n_spans, kept_sha256, kept); kept, the bytes left, is null unless whole."""
     rows = docs.selectExpr("id", "coalesce(t, cast('' as binary)) as t").selectExpr("id", "t", "xxhash64(id, t) as k1", "hash(id, t) as k2")
     found = stored(rows.where(f"octet_length(t) >= {LENGTH}").select("k1", "k2", "t").mapInArrow(_anchored, "k1 long, k2 int, h long, f long, at int, lo int, hi int"), "anchors")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    held = stored(found.join(shared, "h"), "shared-anchors")
-    alike = held.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "at")).alias("stands"))
+    shared = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-grams")
+    held = stored(split_join(found, shared.select("h"), "h", shared, "k1").selectExpr("k1", "k2", "h", "xxhash64(h, f) as f", "at", "lo", "hi"), "shared-anchors")
+    discard(found, shared)
+    alike = held.groupBy("f").agg(F.first("h").alias("h"), F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "at")).alias("stands"))
     alike = stored(alike, "alike-anchors")
     kinds = alike.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"))
-    judged = held.join(alike.join(kinds, "h"), ["h", "f"]).selectExpr("k1", "k2", "h", "at", "lo", "hi", "c > 1 as sure", "kinds > 1 and least = 1 and (c = 1 or struct(k1, k2, at) = stands) as open")
+    kinds = split_join(alike, kinds, "h", alike.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "f").drop("h")
+    judged = split_join(held, kinds, "f", alike.select("f", "c"), "k1").selectExpr("k1", "k2", "h", "at", "lo", "hi", "c > 1 as sure", "kinds > 1 and least = 1 and (c = 1 or struct(k1, k2, at) = stands) as open")
     lists = judged.groupBy("k1", "k2").agg(
         F.collect_list(F.expr("if(sure, struct(lo, hi), null)")).alias("sure"),
         # Alike rows of one key stand once.
@@ -186,5 +193,6 @@ def cut(docs: DataFrame, whole: bool = True) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
-    return cut(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("t")), whole=False).withColumnRenamed("id", "doc_id").drop("kept")
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats) for each document; repeats tells whether anything was removed."""
+    out = cut(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("t")), whole=False)
+    return out.selectExpr("id as doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_removed > 0 as repeats")
