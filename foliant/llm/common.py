@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -52,6 +53,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing holds any more, instead of when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Keys that more than one in HOT of all rows have are split to SPLIT parts; there are fewer than HOT of them, whatever the data.
 HOT, SPLIT = 512, 64
 

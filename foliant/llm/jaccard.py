@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sieve, components, discard, split_join, stored
+from .common import Sieve, components, discard, split_join, stored, sweep
 from .tokens import ends, pieces
 
 N = 5
@@ -155,6 +155,7 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = stored(rows.mapInArrow(_names, schema), "sets")
     nodes = stored(seen.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n")), "classes")
     able = _able(rows, nodes)
+    sweep(rows.sparkSession)
     sets = able.select("node", "tokens")
     keyed = able.selectExpr("node", "n", "s", "explode(keys) as key")
     live = stored(able.selectExpr("node", "n", "s", f"explode(slice(keys, 1, {HUB_KEYS})) as key", "node as g", "1L as size"), "live-keys")
@@ -174,6 +175,8 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             before, live = live, stored(_grouped(live.select("node", "n", "s", "key"), groups), "live-keys")
             discard(before, hubs)
     discard(live)
+    del asked, hubs, named, sizes, before
+    sweep(rows.sparkSession)
     live = stored(_grouped(keyed, groups), "live-keys")
     able = able.select("node", "n", "s")
     # What is left asks the other groups that it shares a key with, the smaller one the larger.

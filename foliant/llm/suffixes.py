@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, split_join, stored
+from .common import discard, split_join, stored, sweep
 
 LENGTH, Q = 400, 200
 #: Lengths of the parts of a range, round by round.
@@ -167,6 +167,7 @@ def cut(docs: DataFrame, whole: bool = True) -> DataFrame:
     shared = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-grams")
     held = stored(split_join(found, shared.select("h"), "h", shared, "k1").selectExpr("k1", "k2", "h", "xxhash64(h, f) as f", "at", "lo", "hi"), "shared-anchors")
     discard(found, shared)
+    sweep(docs.sparkSession)
     alike = held.groupBy("f").agg(F.first("h").alias("h"), F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "at")).alias("stands"))
     alike = stored(alike, "alike-anchors")
     kinds = alike.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"))
