@@ -189,20 +189,21 @@ class Model:
         for t in range(len(live)):
             k = int(np.searchsorted(spot, live[t]))
             if t:
-                product[:k] = product[:k] @ moves
+                product[:k] = (product[:k].reshape(-1, STATES) @ moves).reshape(k, STATES, STATES)
             product[:k] *= seen[at[t] + spot[:k]][:, None, :]
-            product[:k] /= product[:k].max(axis=(1, 2), keepdims=True)
+            if t % 4 == 3:  # four steps stay within the range of a float
+                product[:k] /= product[:k].max(axis=(1, 2), keepdims=True)
         of = np.empty(len(place), dtype=np.int64)
         of[spot] = np.arange(len(spot))
         first = np.flatnonzero(opens)
         count = np.diff(np.append(first, len(number)))
         for k in range(1, int(count.max())):
             x = first[count > k] + k
-            a = np.einsum("ni,nij->nj", enter[place[x - 1]], product[of[place[x - 1]]]) @ moves
+            a = np.einsum("ni,nij->nj", enter[place[x - 1]], product[of[place[x - 1]]], dtype=np.float64) @ moves
             enter[place[x]] = a / a.sum(axis=1, keepdims=True)
         for k in range(int(count.max()) - 1, 0, -1):
             x = first[count > k] + k
-            b = np.einsum("nij,nj->ni", product[of[place[x]]], leave[place[x]]) @ moves.T
+            b = np.einsum("nij,nj->ni", product[of[place[x]]], leave[place[x]], dtype=np.float64) @ moves.T
             leave[place[x - 1]] = b / b.sum(axis=1, keepdims=True)
 
     def updated(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
