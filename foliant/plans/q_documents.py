@@ -57,7 +57,7 @@ QUERIES = {
     "integrate_class": lambda s, d: documents(s, d).select("doc_id", "document_type"),
     "validate_checks": lambda s, d: validate.checks(documents(s, d)).selectExpr("doc_id", "substring(check, length(document) + 2) as check", "status", "severity"),
     "validate_messages": lambda s, d: validate.checks(documents(s, d)).select("doc_id", "check", "message"),
-    "validate_summary": lambda s, d: validate.summary(validate.checks(documents(s, d))),
+    "validate_summary": lambda s, d: validate.summarised(documents(s, d)),
     "validate_report": lambda s, d: validate.report(validate.checks(documents(s, d))).selectExpr("doc_id", "bigint(size(split(text, '\\n'))) as n_lines", "substring_index(text, '\\n', 1) as first_line"),
     "export_flat": lambda s, d: _flat(s, d).select("doc_id", "row_order", *export.COLUMNS),
     "export_sheet_details": lambda s, d: export.sheet(_flat(s, d), "details"),

@@ -15,6 +15,13 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
     return spatial.assigned(blocks(spark, d))
 
 
+def _repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of which every third row stands again, further down in the table and with another text: the first of them stays."""
+    a = regions(spark, d).withColumn("line", F.lit(1))
+    twice = a.unionAll(a.where("block_number % 3 = 0").withColumns({"text": F.lit("again"), "line": F.lit(2)}))
+    return fields.observed(twice, "line").selectExpr("doc_id", "bigint(size(obs)) as n", "aggregate(obs, 0L, (s, x) -> s + x.block_number) as blocks", "bigint(size(filter(obs, x -> x.text = 'again'))) as n_again")
+
+
 def _flat(*names: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         return fields.observed(regions(spark, d)).select("doc_id", *[c for n in names for c in _PARTS[n]()])
@@ -45,6 +52,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "observations_once": lambda s, d: _repeated(s, d),
     "region_text": lambda s, d: fields.observed(regions(s, d)).select("doc_id", *[F.md5(fields.joined(n)).alias(n.lower()) for n in _REGION_NAMES]),
     "field_invoice": _flat("invoice"),
     "field_order": _flat("order"),
@@ -159,6 +167,7 @@ select doc_id, coalesce(nullif(d0, ''), list_filter(parts, lambda x: len(regexp_
   ident as product_identifier, {_get('t', r"\bDiscount" + _AMT)} as discount, {_get('t', r"\b(?:Net\s+Amount|Net)" + _AMT)} as net_amount from c5"""
 
 ORACLE_SQL = {
+    "observations_once": f"{_R} select doc_id, count(*) as n, cast(sum(block_number) as bigint) as blocks, cast(0 as bigint) as n_again from reg group by doc_id",
     "region_text": _from(list(_REGION_NAMES), ", ".join(f"md5({n.lower()}_t) as {n.lower()}" for n in _REGION_NAMES)),
     "field_invoice": _from(["INVOICE_DETAILS"], ", ".join((
         _get("invoice_details_t", r"\bInvoice\s+(?:Number|No\.?)\s*[:#\-]?\s*([A-Z0-9][A-Z0-9./_-]*)") + " as invoice_number",

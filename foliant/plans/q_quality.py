@@ -90,7 +90,7 @@ ORACLE_SQL = {
     "ocr_best_variant": f"with {_V} select doc_id, arg_max(variant, score * 10 - k) as variant, max(score) as score from va group by doc_id",
     "ocr_retry": f"with {_V} select doc_id, variant, score < 52 or confidence < 48 or n_words < 8 or single_ratio > 0.35 or greatest(height, 800) < 1000 as needs_retry from va",
     "ocr_choice": f"with {_V}, m as (select doc_id, max(score) filter (k < 3) as n, max(score) filter (k >= 3) as t from va group by doc_id) select doc_id, case when t > n + 2 then 'targeted' else 'normal' end as choice, t >= n - 5 as consensus_ok, t >= n + 3 as enhanced_ok from m",
-    "ocr_merge_iou_pairs": f"{_W}, {_O} select a.doc_id, a.word_seq as base_seq, b.word_seq as other_seq from w a join o b on a.doc_id = b.doc_id and b.top between a.top - 30 and a.top + 30 and b.x < a.x + a.width and a.x < b.x + b.width where {_SHARE} >= 0.78 or ({_SHARE} >= 0.45 and {_KEY('a.text')} = {_KEY('b.text')})",
+    "ocr_merge_iou_pairs": f"{_W}, {_O} select a.doc_id, a.word_seq as base_seq, b.word_seq as other_seq from (select *, unnest([cast(floor(top / 31) as bigint) - 1, cast(floor(top / 31) as bigint), cast(floor(top / 31) as bigint) + 1]) as band from w) a join (select *, cast(floor(top / 31) as bigint) as band from o) b on a.doc_id = b.doc_id and a.band = b.band and b.top between a.top - 30 and a.top + 30 and b.x < a.x + a.width and a.x < b.x + b.width where {_SHARE} >= 0.78 or ({_SHARE} >= 0.45 and {_KEY('a.text')} = {_KEY('b.text')})",
     # Words of one line do not touch, so a word meets its own second reading only.
     "ocr_consensus": f"{_W} select doc_id, word_seq, case when word_seq % 7 = 0 or word_seq % 5 <> 0 or {_KEY('text')} = {_KEY('reverse(text)')} or {_KEY('text')} = '' then text else reverse(text) end as text from w",
     "ocr_reconstruct_spacing": f"""{_W}, u as (select *, greatest(3, median(width) over (partition by doc_id) / 5) as unit, max(x + width) over (partition by doc_id, line_no order by x, word_seq rows between unbounded preceding and 1 preceding) as before from w),
@@ -100,7 +100,7 @@ ORACLE_SQL = {
     "page_confidence": f"{_W} select doc_id, {_R4('avg(cast(conf - 5 as double))')} as all_words, coalesce({_R4('avg(cast(conf - 5 as double)) filter (conf >= 5)')}, 0) as recognition, {_R4('avg(cast(conf - 5 as double)) filter (conf between 5 and 105)')} as checks from w group by doc_id",
     "confidence_review": f"{_W} select doc_id, case when avg(conf) >= 70 then 'PASS' else 'REVIEW' end as status from w group by doc_id",
     "catalog_recent": "select o_orderkey as doc_id, case o_orderkey % 4 when 0 then 'Invoice' when 1 then 'Receipt' when 2 then 'Document' else 'Bank Statement' end as kind from orders order by o_orderdate desc, o_orderkey limit 5",
-    "download_catalog": "select o_orderkey as doc_id, a as artifact, a = case o_orderkey % 3 when 0 then 'invoice_output.csv' when 1 then 'invoice_data.json' else '' end as there from orders, (select unnest([" + ", ".join(f"'{a}'" for a in writers.ARTIFACTS) + "]) as a)",
+    "download_catalog": "select o_orderkey as doc_id, a as artifact, a = case o_orderkey % 3 when 0 then 'invoice_output.csv' when 1 then 'invoice_data.json' else '' end as there from orders, (select unnest(['generic_final.json', 'final_invoice_data.json', 'invoice_data.json', 'invoice_output.csv', 'invoice_output.xlsx', 'validation_report.json']) as a)",
     "view_cards": f"""{_DOCS_SQL}, c as (select doc_id, unnest([{{'section': 'seller', 'field': 'name', 'value': seller_name}}, {{'section': 'seller', 'field': 'address', 'value': seller_address}}, {{'section': 'seller', 'field': 'pan', 'value': pan}}, {{'section': 'seller', 'field': 'gstin', 'value': gstin}},
       {{'section': 'supply', 'field': 'place_of_supply', 'value': place_of_supply}}, {{'section': 'supply', 'field': 'place_of_delivery', 'value': place_of_delivery}}, {{'section': 'payment', 'field': 'transaction', 'value': payment_id}}, {{'section': 'payment', 'field': 'mode', 'value': payment_mode}},
       {{'section': 'payment', 'field': 'value', 'value': case when payment_value_c is not null then cast(payment_value_c // 100 as varchar) || '.' || lpad(cast(payment_value_c % 100 as varchar), 2, '0') end}}]) as r from dx)
