@@ -75,21 +75,21 @@ def split_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, b
 
 
 class Sieve:
-    """Which 64-bit hashes may be in a table: a bit for each value of their first bits, at most 2**28 (32 MiB). It never holds one back that is in the table."""
+    """Which 64-bit hashes may be in a table: two bits for each, at the place of its first bits and at that of its last, of at most 2**28 bits (32 MiB). It never holds one back that is in the table."""
 
-    PER, MOST = 16, 28
-
-    def __init__(self, hashes: DataFrame, column: str, per: int = PER, most: int = MOST):
-        n = hashes.count()
-        self.bits = min(max(10, (n * per).bit_length()), most)
+    def __init__(self, hashes: DataFrame, column: str, per: int = 32, most: int = 28):
+        self.bits = min(max(10, (hashes.count() * per).bit_length()), most)
         # At most 2**22 numbers reach the driver.
-        place = hashes.selectExpr(f"shiftrightunsigned({column}, {64 - self.bits}) as x").selectExpr("x div 64 as i", "shiftleft(1L, int(x % 64)) as b").groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
-        self.held = np.zeros(max(1, 2**self.bits // 64), dtype=np.uint64)
+        ends = f"explode(array(shiftrightunsigned({column}, {64 - self.bits}), {column} & {2**self.bits - 1}L)) as x"
+        place = hashes.selectExpr(ends).selectExpr("x div 64 as i", "shiftleft(1L, int(x % 64)) as b").groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
+        self.held = np.zeros(2**self.bits // 64, dtype=np.uint64)
         self.held[place["i"].to_numpy()] = place["b"].to_numpy().view(np.uint64)
 
     def may(self, g: np.ndarray) -> np.ndarray:
-        place = g >> np.uint64(64 - self.bits)
-        return (self.held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        found = np.ones(len(g), dtype=bool)
+        for place in (g >> np.uint64(64 - self.bits), g & np.uint64(2**self.bits - 1)):
+            found &= (self.held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return found
 
 
 def words_of(text: Column) -> Column:

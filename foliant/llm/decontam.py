@@ -6,8 +6,8 @@ n-gram has its rarest ones as seeds, so every item can be found. Seeds of one it
 the item is aligned with the window (match +2, mismatch and gap -1) and the score is the best local alignment over that of a
 perfect copy. Each window is aligned, none is dropped for its rank.
 
-The corpus is read once, whatever the number of items. A sieve of at most 2**SIEVE_BITS bits, which each worker gets, lets the n-grams through that may be seeds; it
-never holds one back that is, so its size changes only how many are joined for nothing. Texts whose n-grams lie dense enough for some item are kept with their words'
+The corpus is read once, whatever the number of items. Up to three sieves of at most 2**SIEVE_BITS bits, which each worker gets, let the n-grams through that may be seeds, apart for items that need one hit, two or three; they
+never hold one back that is, so their size changes only how many are joined for nothing. Texts whose n-grams lie dense enough for some item are kept with their words'
 hashes, equal texts once; their n-grams are joined with the table of seeds (salted, so that a passage of many texts is many keys), and windows with their items.
 
 Case and punctuation do not count. Defined results: null or empty texts and items match nothing; items shorter than N words have one seed, all their words; repeated rows are judged
@@ -34,8 +34,8 @@ RARE_ITEMS = 8
 LEAST_SEEDS = 3
 #: Part of a perfect copy's score from which an item counts as leaked.
 THRESHOLD = 0.45
-#: Bits of the sieve: SIEVE for each seed, 2**SIEVE_BITS at most (32 MiB).
-SIEVE, SIEVE_BITS = 64, 28
+#: Bits of a sieve: SIEVE for each seed, 2**SIEVE_BITS at most (32 MiB).
+SIEVE, SIEVE_BITS = 512, 28
 #: Parts that the seeds of one n-gram are dealt to when they are joined.
 SALT = 8
 #: Copies may differ in punctuation: ASCII characters that are no letters or digits separate words here.
@@ -63,27 +63,34 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Hits:
-    """Which n-grams of a text may be seeds; lengths: the n that occur, least: hits that any item needs within reach."""
+    """Which n-grams of a text may be seeds, for each number of hits that items need: (its sieve, the n that occur, that number, within what reach)."""
 
-    def __init__(self, sieve: Sieve, lengths: list[int], least: int, reach: int):
-        self.sieve, self.lengths, self.least, self.reach = sieve, lengths, least, reach
+    def __init__(self, kinds: list[tuple[Sieve, list[int], int, int]]):
+        self.kinds = kinds
 
     def of(self, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, position in it, hash) of the n-grams that pass and have enough others around them, in this order."""
-        found = []
-        for n in self.lengths:
-            g = grams(h, n)
-            pos = np.flatnonzero(self.sieve.may(g))
-            row = np.searchsorted(at, pos, side="right") - 1
-            whole = pos + n <= at[row + 1]
-            found.append((row[whole], pos[whole], g[pos[whole]]))
-        row, pos, g = (np.concatenate(x) for x in zip(*found))
+        runs = {n: grams(h, n) for n in {n for kind in self.kinds for n in kind[1]}}
+        held = []
+        for sieve, lengths, least, reach in self.kinds:
+            found = []
+            for n in lengths:
+                pos = np.flatnonzero(sieve.may(runs[n]))
+                row = np.searchsorted(at, pos, side="right") - 1
+                whole = pos + n <= at[row + 1]
+                found.append((row[whole], pos[whole], runs[n][pos[whole]]))
+            row, pos, g = (np.concatenate(x) for x in zip(*found))
+            place = pos + row * (2 * reach + 2)  # texts lie further apart than a reach
+            one = np.unique(place)
+            dense = np.searchsorted(one, place + reach, side="right") - np.searchsorted(one, place - reach, side="left") >= least
+            held.append((row[dense], pos[dense], g[dense]))
+        row, pos, g = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((g, pos, row))
         row, pos, g = row[order], pos[order], g[order]
-        place = pos + row * (2 * self.reach + 2)  # texts lie further apart than a reach
-        one = np.unique(place)
-        dense = np.searchsorted(one, place + self.reach, side="right") - np.searchsorted(one, place - self.reach, side="left") >= self.least
-        return row[dense], (pos - at[row])[dense], g[dense]
+        new = np.ones(len(row), dtype=bool)  # what passes for two numbers counts once
+        new[1:] = (np.diff(pos) != 0) | (g[1:] != g[:-1])
+        row, pos, g = row[new], pos[new], g[new]
+        return row, pos - at[row], g
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -186,11 +193,10 @@ def seeded(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def hits_of(items: DataFrame, seeds: DataFrame) -> Hits | None:
-    """What workers need to find hits; None where there are no items."""
-    some = items.agg(F.min("need"), F.max("m"), F.collect_set(F.least("m", F.lit(N)))).first()
-    if some[0] is None:
-        return None
-    return Hits(Sieve(seeds, "g", SIEVE, SIEVE_BITS), sorted(some[2]), some[0], (some[0] - 1) * (some[1] // 2 + 2) + some[1])
+    """What workers need to find hits; None where there are no items. Items need one hit, two or three."""
+    kinds = items.groupBy("need").agg(F.max("m").alias("m"), F.collect_set(F.least("m", F.lit(N))).alias("lengths")).collect()
+    sieve = lambda need: Sieve(seeds.join(items.where(F.col("need") == need).select("k"), "k", "left_semi"), "g", SIEVE, SIEVE_BITS)
+    return Hits([(sieve(x.need), sorted(x.lengths), x.need, (x.need - 1) * (x.m // 2 + 2) + x.m) for x in kinds]) if kinds else None
 
 
 def _keys(text: Column) -> tuple[Column, Column]:
