@@ -149,62 +149,72 @@ class Model:
         for i, k in enumerate(order):
             padded[i, : length[i]] = cut[k]
         flat = np.concatenate([padded[: live[t], t] for t in range(steps)])
+        # States come first, so that each operation runs along the segments.
         moves = self.move.astype(np.float32)
-        seen = np.take(np.ascontiguousarray(self.ratio.T, dtype=np.float32), flat, axis=0)
+        back = np.ascontiguousarray(moves.T)
+        seen = np.take(self.ratio.astype(np.float32), flat, axis=1)
         opens = np.diff(number, prepend=-1) > 0
-        enter, leave = np.tile(self.first.astype(np.float32), (n, 1)), np.ones((n, STATES), dtype=np.float32)
+        enter, leave = np.repeat(self.first.astype(np.float32)[:, None], n, axis=1), np.ones((STATES, n), dtype=np.float32)
         if n > len(texts):
-            self._scan(number, opens, place, length, live, at, seen, moves, enter, leave)
-        alpha, scale, a = np.empty_like(seen), np.empty((len(flat), 1), dtype=np.float32), enter
-        one = np.ones((STATES, 1), dtype=np.float32)
-        last = np.empty((n, STATES), dtype=np.float32)
+            self._scan(number, opens, place, live, at, seen, back, enter, leave)
+        alpha, scale, a = np.empty_like(seen), np.empty(len(flat), dtype=np.float32), enter
+        last = np.empty((STATES, n), dtype=np.float32)
         for t in range(steps):
-            a = (a[: live[t]] @ moves if t else a) * seen[at[t] : at[t + 1]]
-            s = a @ one
+            here, now = slice(at[t], at[t + 1]), live[t]
+            a = (back @ a[:, :now] if t else a) * seen[:, here]
+            s = a.sum(axis=0)
             a /= s
-            alpha[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = a, s
-            last[: live[t]] = a
-        beta = leave / (last * leave).sum(axis=1, keepdims=True)
+            alpha[:, here], scale[here] = a, s
+            last[:, :now] = a
+        beta = leave / (last * leave).sum(axis=0)
         opened = np.empty(n, dtype=bool)
         opened[place] = opens
         move = np.zeros((STATES, STATES))
         for t in range(steps - 1, -1, -1):
             here, now = slice(at[t], at[t + 1]), live[t]
-            ahead = seen[here] * beta[:now] / scale[here]
-            alpha[here] *= beta[:now]  # from here on the states' shares
+            ahead = seen[:, here] * beta[:, :now]
+            ahead /= scale[here]
+            alpha[:, here] *= beta[:, :now]  # from here on the states' shares
             if t:
-                move += alpha[at[t - 1] : at[t - 1] + now].T @ ahead
-                beta[:now] = ahead @ moves.T
+                move += alpha[:, at[t - 1] : at[t - 1] + now] @ ahead.T
+                beta[:, :now] = moves @ ahead
             else:
                 before = np.flatnonzero(~opens)
-                move += last[place[before - 1]].T @ ahead[place[before]]
-        emit = np.stack([np.bincount(flat, weights=alpha[:, s], minlength=len(self.base)) for s in range(STATES)])
-        return alpha[:n][opened].sum(axis=0, dtype=np.float64), move * self.move, emit
+                move += last[:, place[before - 1]] @ ahead[:, place[before]].T
+        emit = np.stack([np.bincount(flat, weights=x, minlength=len(self.base)) for x in alpha])
+        return alpha[:, :n][:, opened].sum(axis=1, dtype=np.float64), move * self.move, emit
 
-    def _scan(self, number, opens, place, length, live, at, seen, moves, enter, leave) -> None:
+    def _scan(self, number, opens, place, live, at, seen, back, enter, leave) -> None:
         """Fills enter, the states expected at the first token of each segment, and leave, what follows its last one says of them."""
         many = np.flatnonzero(np.bincount(number)[number] > 1)  # segments of texts with several
         spot = np.sort(place[many])
-        product = np.tile(np.eye(STATES, dtype=np.float32), (len(spot), 1, 1))
+        product = np.empty((STATES, STATES, len(spot)), dtype=np.float32)  # to each state, from each state, of each segment
+        run = np.repeat(np.eye(STATES, dtype=np.float32)[:, :, None], len(spot), axis=2)
         for t in range(len(live)):
             k = int(np.searchsorted(spot, live[t]))
+            if k < run.shape[2]:
+                product[:, :, k : run.shape[2]] = run[:, :, k:]
+                run = np.ascontiguousarray(run[:, :, :k])
+            if not k:
+                break
             if t:
-                product[:k] = (product[:k].reshape(-1, STATES) @ moves).reshape(k, STATES, STATES)
-            product[:k] *= seen[at[t] + spot[:k]][:, None, :]
+                run = (back @ run.reshape(STATES, -1)).reshape(run.shape)
+            run *= seen[:, at[t] + spot[:k]][:, None, :]
             if t % 4 == 3:  # four steps stay within the range of a float
-                product[:k] /= product[:k].max(axis=(1, 2), keepdims=True)
+                run /= run.max(axis=(0, 1))
+        product[:, :, : run.shape[2]] = run
         of = np.empty(len(place), dtype=np.int64)
         of[spot] = np.arange(len(spot))
         first = np.flatnonzero(opens)
         count = np.diff(np.append(first, len(number)))
         for k in range(1, int(count.max())):
             x = first[count > k] + k
-            a = np.einsum("ni,nij->nj", enter[place[x - 1]], product[of[place[x - 1]]], dtype=np.float64) @ moves
-            enter[place[x]] = a / a.sum(axis=1, keepdims=True)
+            a = self.move.T @ np.einsum("in,jin->jn", enter[:, place[x - 1]], product[:, :, of[place[x - 1]]], dtype=np.float64)
+            enter[:, place[x]] = a / a.sum(axis=0)
         for k in range(int(count.max()) - 1, 0, -1):
             x = first[count > k] + k
-            b = np.einsum("nij,nj->ni", product[of[place[x]]], leave[place[x]], dtype=np.float64) @ moves.T
-            leave[place[x - 1]] = b / b.sum(axis=1, keepdims=True)
+            b = self.move @ np.einsum("jin,jn->in", product[:, :, of[place[x]]], leave[:, place[x]], dtype=np.float64)
+            leave[:, place[x - 1]] = b / b.sum(axis=0)
 
     def updated(self, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
         """From summed counts; a little of the base in each emission keeps every class possible in every state."""
