@@ -6,8 +6,9 @@ their base probabilities. Classes: the most frequent words and the end have one
 bytes. How many words have their own grows with the vocabulary: OWN_ROOT times its square root, and OWN at least. Any word has a class,
 so held-out texts need no vocabulary on the workers.
 
-Training is Baum-Welch: each partition adds up expected counts over its documents, a shuffle adds up the partitions', and only those
-sums, states x classes numbers, reach the driver between iterations. It reads every training document as one whole sequence.
+Training is Baum-Welch: each task adds up expected counts over its documents, a shuffle adds up the tasks', and only those
+sums, states x classes numbers, reach the driver between iterations. Tasks are TASKS for each core, so what is shuffled grows with the
+classes and the cluster, not with the partitions of the corpus too. It reads every training document as one whole sequence.
 Scoring runs the scaled forward recursion through whole texts.
 
 Counts of words stay in a table. Words among the TOP most frequent, or all with an own class if those are more, are scored where the text is read (a broadcast
@@ -41,7 +42,9 @@ OWN_ROOT = 8
 CLASSES = OWN + BUCKETS + 1
 TOP, WORD_BYTES = 32768, 64
 #: Tokens of the segments in which long texts are trained on side by side, and of the texts that are worked on at a time, one text more at most.
-CHUNK, LOT = 1024, 2**19
+CHUNK, LOT = 512, 2**20
+#: Training tasks for each core of the cluster.
+TASKS = 2
 HELD_OUT = 2
 
 
@@ -309,11 +312,11 @@ def trained(seen: DataFrame, base: np.ndarray, iterations: int = ITERATIONS) ->
     """Baum-Welch over the classes of the training rows of seen."""
     spark = seen.sparkSession
     model = Model.start(base)
-    train = seen.where("not held_out").select("classes")
+    train = seen.where("not held_out").select("classes").coalesce(TASKS * spark.sparkContext.defaultParallelism)
     for _ in range(iterations):
         held = spark.sparkContext.broadcast(model)
         parts = train.mapInArrow(lambda bs, held=held: _expected(bs, held), "sums array<double>")
-        sums = parts.selectExpr("posexplode(sums) as (i, v)").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        sums = parts.selectExpr("posexplode(sums) as (i, v)").where("v != 0").groupBy("i").agg(F.sum("v").alias("v")).collect()
         if not sums:
             break
         flat = np.zeros(STATES + STATES**2 + STATES * len(base))
