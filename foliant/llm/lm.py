@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
-from .tokens import pieces
+from .tokens import ends, pieces
 
 STATES, ITERATIONS = 6, 8
 OWN, BUCKETS = 767, 256
@@ -92,30 +93,46 @@ class Lexicon:
         return self.own + zlib.crc32(word[-3:]) % BUCKETS
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 def _taken_apart(batches, lexicon):
     """Rows with the classes of a text, its base score so far, and the words that the join must count."""
     lex = lexicon.value
-    known, score, first, crc32, xxh64 = lex.known, lex.score, lex.own, zlib.crc32, xxhash.xxh64_intdigest
+    class_of, score_of = lex.known.get, lex.score.get
+    kind = class_type(lex.classes)
     for b in batches:
         for start, words in pieces(b.column("t")):
-            rows = []
-            for ws in words:
-                own, rare, times, late, base = {}, [], [], 0, lex.end
-                for w, n in Counter(ws).items():
-                    if w in known:
-                        own[w] = known[w]
-                        base += score[w] * n
-                    else:
-                        own[w] = first + crc32(w[-3:]) % BUCKETS
-                        rare.append(xxh64(w, 42))
-                        times.append(n)
-                        late += n
-                classes = np.empty(len(ws) + 1, dtype=class_type(lex.classes))
-                classes[:-1] = [own[w] for w in ws]
-                classes[-1] = lex.classes - 1
-                rows.append((classes.tobytes(), len(ws) + 1, len(ws) - late + (lex.documents > 0), base, np.array(rare, dtype=np.uint64).view(np.int64), times, xxhash.xxh3_128_digest(b" ".join(ws))))
-            n = len(words)
-            cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()))]
+            n, at, numbers = len(words), ends(words), Numbers()
+            flat = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(at[-1]))
+            text = np.repeat(np.arange(n), np.diff(at))
+            # What each word of the piece is, worked out once.
+            own = np.array([class_of(w, -1) for w in numbers], dtype=np.int64)
+            score = np.array([score_of(w, 0.0) for w in numbers])
+            rare, hashes = own < 0, np.zeros(len(own), dtype=np.uint64)
+            for i, w in zip(np.flatnonzero(rare).tolist(), compress(numbers, rare.tolist())):
+                own[i], hashes[i] = lex.bucket(w), xxhash.xxh64_intdigest(w, seed=42)
+            # Classes of all texts, each with its end.
+            classes = np.full(len(flat) + n, lex.classes - 1, dtype=kind)
+            classes[np.arange(len(flat)) + text] = own[flat]
+            late = rare[flat]
+            late_of, times = np.unique(text[late] * len(own) + flat[late], return_counts=True)
+            bounds = np.searchsorted(late_of, np.arange(n + 1) * len(own)).astype(np.int32)
+            known = np.diff(at) - np.bincount(text[late], minlength=n) + (lex.documents > 0)
+            cols = [
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(((at + np.arange(n + 1)) * classes.itemsize).astype(np.int32)), pa.py_buffer(classes)]),
+                pa.array(np.diff(at) + 1, pa.int64()),
+                pa.array(known, pa.int64()),
+                pa.array(lex.end + np.bincount(text, weights=score[flat], minlength=n)),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[late_of % max(1, len(own))].view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(times, pa.int32())),
+                pa.array([xxhash.xxh3_128_digest(b" ".join(ws)) for ws in words], pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, n), b.column("held_out").slice(start, n), *cols], names=["doc_id", "held_out", "classes", "n_tokens", "n_known", "base", "rare", "times", "same"])
 
 
