@@ -8,7 +8,8 @@ members are compared one by one, exactly, on whole sets.
 No link is lost. Sets of n and m tokens link if 7 * overlap >= 3 * (n + m), so each shares three quarters of its tokens with the other. A token that one class alone has is in no
 overlap: a class that has too many of them (counted in the part of its tokens with the least hashes, HEAD of them) has no links and drops out. Of the others all tokens are
 put in one order, the rarest first. Two sets that link have one of their first n // 4 + 1 tokens in common, their keys; so classes
-without a common key need not meet.
+without a common key need not meet. Of the first token that two sets share, what comes before is in no overlap: if it is the i-th of n (from 0), the overlap is n - i at most. So a class asks by a key only if
+7 * (n - i) >= 3 * (n + m) holds, and the same from the other side; the first token in common passes whenever two sets link.
 
 How groups come about: in a few rounds each class is compared with one hub, of the largest group that it shares one of its first HUB_KEYS keys with; links so proven
 make the groups grow. Then classes ask all other groups that they share any key with, the smaller group the larger. Groups are asked in parts of
@@ -135,16 +136,24 @@ def _able(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     # Tokens of one class alone, counted at their only owner.
     alone = rows.mapInArrow(_heads, "t long, node long").groupBy("t").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo = hi").groupBy("lo").agg(F.count(F.lit(1)).alias("u"))
     some = stored(nodes.join(alone, F.expr("node = lo"), "left").where("4 * (n - coalesce(u, 0L)) >= 3 * n").select("node"), "some")
+    del alone
+    sweep(rows.sparkSession)
     sieve = rows.sparkSession.sparkContext.broadcast(Sieve(some, "node"))
     sets = rows.mapInArrow(lambda bs: _tokens(bs, sieve), "node long, tokens array<long>").join(some, "node", "left_semi")
     sets = stored(sets.groupBy("node").agg(F.first("tokens").alias("tokens")), "tokens")
+    sweep(rows.sparkSession)
     each = sets.selectExpr("node", "explode(tokens) as t")
     shared = stored(each.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-tokens")
-    ranked = split_join(each, shared, "t", shared, "node").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ks"))
+    sweep(rows.sparkSession)
+    # Each shuffle of all tokens is gone before the next one is written.
+    owned = stored(split_join(each, shared, "t", shared, "node").select("node", "c", "t"), "owned-tokens")
+    discard(shared)
+    sweep(rows.sparkSession)
+    ranked = owned.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("ks"))
     both = sets.join(ranked, "node").selectExpr("node", "bigint(size(tokens)) as n", "bigint(size(ks)) as s", "tokens", "ks").where("4 * s >= 3 * n")
     # Tokens of one class alone are the rarest: of the first n // 4 + 1 tokens they take n - s places.
     able = stored(both.selectExpr("node", "n", "s", "tokens", "slice(ks.t, 1, int(n div 4 + 1 - n + s)) as keys"), "able")
-    discard(sets, shared)
+    discard(sets, owned)
     return able
 
 
@@ -157,8 +166,9 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     able = _able(rows, nodes)
     sweep(rows.sparkSession)
     sets = able.select("node", "tokens")
-    keyed = able.selectExpr("node", "n", "s", "explode(keys) as key")
-    live = stored(able.selectExpr("node", "n", "s", f"explode(slice(keys, 1, {HUB_KEYS})) as key", "node as g", "1L as size"), "live-keys")
+    # i: how many tokens of the set come before the key.
+    keyed = able.selectExpr("node", "n", "s", "posexplode(keys) as (p, key)").selectExpr("node", "n", "s", "n - s + p as i", "key")
+    live = stored(keyed.where(f"i < n - s + {HUB_KEYS}").selectExpr("*", "node as g", "1L as size"), "live-keys")
     # Whoever links with a hub takes the name of its group. So all of one name link, in one or more steps, with the class of that name, whatever names others take.
     links, groups = None, able.selectExpr("node", "node as root", "1L as gs")
     for turn in range(ROUNDS):
@@ -172,7 +182,7 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("gs"))
         groups = stored(named.join(sizes, "root").select("node", "root", "gs"), "groups")
         if turn < ROUNDS - 1:
-            before, live = live, stored(_grouped(live.select("node", "n", "s", "key"), groups), "live-keys")
+            before, live = live, stored(_grouped(live.select("node", "n", "s", "i", "key"), groups), "live-keys")
             discard(before, hubs)
     discard(live)
     del asked, hubs, named, sizes, before
@@ -180,9 +190,12 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = stored(_grouped(keyed, groups), "live-keys")
     able = able.select("node", "n", "s")
     # What is left asks the other groups that it shares a key with, the smaller one the larger.
-    there = live.groupBy("key", "g", "size").agg(F.max("s").alias("os"), F.min("n").alias("o_n")).selectExpr("key", "g as other", "size as other_size", "os", "o_n as on_")
-    asks = live.join(there, "key").where("struct(size, g) < struct(other_size, other) and 7 * least(s, os) >= 3 * (n + on_)").select("node", "n", "s", "other", "other_size").distinct()
+    there = live.groupBy("key", "g", "size").agg(F.max("s").alias("os"), F.min("n").alias("o_n"), F.max(F.expr("4 * n - 7 * i")).alias("far")).selectExpr("key", "g as other", "size as other_size", "os", "o_n as on_", "far")
+    asks = live.join(there, "key").where("struct(size, g) < struct(other_size, other) and 7 * least(s, os) >= 3 * (n + on_) and 7 * i <= 4 * n - 3 * on_ and far >= 3 * n").select("node", "n", "s", "other", "other_size").distinct()
     asks = stored(asks, "asks")
+    discard(live)
+    del there
+    sweep(rows.sparkSession)
     # The matrix: groups asked, in parts of bounded size, with members, the union of their tokens, and what any of them can reach.
     wanted = asks.select("other").distinct()
     inside = groups.selectExpr("node", "root as other").join(wanted, "other", "left_semi")
@@ -206,8 +219,8 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _grouped(live: DataFrame, of: DataFrame) -> DataFrame:
-    """Rows (node, n, s, key) with their group g and its size; keys that lie within one group are done."""
-    all_ = live.join(of, "node").selectExpr("key", "node", "n", "s", "root as g", "gs as size")
+    """Rows (node, n, s, i, key) with their group g and its size; keys that lie within one group are done."""
+    all_ = live.join(of, "node").selectExpr("key", "node", "n", "s", "i", "root as g", "gs as size")
     mixed = stored(all_.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi").select("key", "c"), "mixed-keys")
     return split_join(all_, mixed.select("key"), "key", mixed, "node")
 

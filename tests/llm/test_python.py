@@ -82,6 +82,24 @@ def test_jaccard_agrees_with_brute_force(docs, rows, empty):
     assert jaccard.joined(empty).count() == 0
 
 
+def test_jaccard_asks_only_where_the_first_common_token_leaves_enough(spark, monkeypatch):
+    # A quarter of each text is its own, the rest are passages of its row and its column: no two texts link, though all share keys.
+    line = {(k, i): prose(1000 * k + i, 120) for k in (1, 2) for i in range(5)}
+    texts = [(5 * i + j, f"{prose(5000 + 5 * i + j, 60)} {line[1, i]} {line[2, j]}") for i in range(5) for j in range(5)]
+    texts += [(100, prose(9000, 300)), (101, prose(9000, 300) + " more")]
+    made, stored = {}, jaccard.stored
+
+    def told(df, name):
+        out = stored(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", told)
+    got = jaccard.joined(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: min(i, 100) for i, _ in texts}
+    assert made["able"] >= 25 and made["live-keys"] > 0 and made["asks"] == 0
+
+
 def test_jaccard_chains_and_groups(spark):
     words = prose(11, 200).split()
     rows = []
