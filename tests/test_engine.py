@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
 from foliant.operators import classify, fields, integrate, layout, quality, spatial, tables, validate
-from foliant.plans import catalogue
+from foliant.plans import catalogue, fixtures
 from foliant.sources import readers
 
 
@@ -140,3 +140,8 @@ def test_messages_of_all_checks(spark):
     checks = catalogue.QUERIES["export_sheet_validation"](spark, d).select("doc_id", "check").collect()
     assert sorted((r.doc_id, r.check) for r in got) == sorted(map(tuple, checks))
     assert any(r.message for r in got)
+
+
+def test_blocks_are_made_after_the_only_shuffle(spark):
+    plan = fixtures.frame(spark, "/root/testdata/sf0.001", "inv_blocks")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
