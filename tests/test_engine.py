@@ -145,3 +145,11 @@ def test_messages_of_all_checks(spark):
 def test_blocks_are_made_after_the_only_shuffle(spark):
     plan = fixtures.frame(spark, "/root/testdata/sf0.001", "inv_blocks")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_observations_of_some_regions_lose_no_page(spark):
+    rows = [(1, 1, 1, "Order Number: A-1", "ORDER"), (1, 1, 2, "x", "SELLER"), (2, 1, 1, "y", "SELLER")]
+    a = spark.createDataFrame(rows, "doc_id long, page_number int, block_number int, text string, section string")
+    a = a.selectExpr("*", "10 * block_number as y_start", "10 * block_number + 5 as y_end", "0 as x_start", "9 as x_end", "'' as spatial_region")
+    got = fields.observed(a, names=["ORDER"]).select("doc_id", F.expr("transform(obs, o -> o.text)").alias("t"), fields.order()["number"].alias("number")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.t, r.number) for r in got] == [(1, ["Order Number: A-1"], "A-1"), (2, [], "")]
