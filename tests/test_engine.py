@@ -153,3 +153,13 @@ def test_observations_of_some_regions_lose_no_page(spark):
     a = a.selectExpr("*", "10 * block_number as y_start", "10 * block_number + 5 as y_end", "0 as x_start", "9 as x_end", "'' as spatial_region")
     got = fields.observed(a, names=["ORDER"]).select("doc_id", F.expr("transform(obs, o -> o.text)").alias("t"), fields.order()["number"].alias("number")).orderBy("doc_id").collect()
     assert [(r.doc_id, r.t, r.number) for r in got] == [(1, ["Order Number: A-1"], "A-1"), (2, [], "")]
+
+
+def test_amounts_are_those_of_items(spark):
+    rows = [(1, "Blue widget", 100, 600, 1000), (2, "10.00", 900, 1000, 1000), (3, "IGST 5%", 1300, 1400, 1000), (4, "0.50", 1450, 1550, 1000), (5, "10.50", 1700, 1900, 1000), (6, "TOTAL:", 100, 250, 1200), (7, "10.50", 1700, 1900, 1200)]
+    a = spark.createDataFrame(rows, "block_number int, text string, x_start int, x_end int, y_start int")
+    a = a.selectExpr("1L as doc_id", "1 as page_number", "*", "y_start + 30 as y_end", "if(block_number < 6, 'PRODUCT_TABLE', 'TOTAL') as spatial_region")
+    columns = ["unit_price", "net_amount", "tax_rate", "tax_type", "tax_amount", "total_amount"]
+    (got,) = tables.amounts(a).select(*columns).collect()
+    assert tuple(got) == ("10.00", "10.00", "5%", "IGST", "0.50", "10.50")
+    assert [got] == tables.items(a).select(*columns).collect()
