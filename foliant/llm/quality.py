@@ -86,9 +86,9 @@ def fences(sketch: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source").agg(F.struct(*[one(k).alias(k) for k in SPREADS], F.max(F.expr("if(metric = 'word_length', g, null)")).alias("shortest")).alias("f"))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Adds `kept` to stored rows (lang, source, q): whether each passes the base rules and its group's fences."""
-    f = stored(fences(sketches(rows)), "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "f")
+def judged(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Adds `kept` to rows (lang, source, q): whether each passes the base rules and its group's fences, which come from the rows `seen`, else from rows."""
+    f = stored(fences(sketches(rows if seen is None else seen)), "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "f")
     # A stored table's size is known when the plan is made, so Spark broadcasts it only below its own threshold.
     both = rows.join(f, F.expr("lang <=> f_lang and source <=> f_source"), "left")
     inside = [F.expr(f"({e.replace('n_', 'q.n_').replace('word_chars', 'q.word_chars')}) <= f.{k}") for k, e in _RATIOS.items()]
@@ -114,8 +114,11 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    rows = stored(counts(_named(docs), F.col("doc.text")), "quality")
-    return judged(rows).where("kept").select("doc.*")
+    rows = counts(_named(docs), F.col("doc.text"))
+    # Parts of q are never worked out again for each use of it: nothing is pushed through explode.
+    rows = rows.select("doc", "lang", "source", F.explode(F.array("q")).alias("q"))
+    # Only numbers are stored between the two steps, so texts are counted twice; stored texts would take the disk of another input while all later stages run.
+    return judged(rows, stored(rows.select("lang", "source", "q"), "quality")).where("kept").select("doc.*")
 
 
 ORACLE_SQL = r"""

@@ -42,6 +42,14 @@ def test_quality_keeps_prose_and_own_columns(docs, empty):
     assert quality.assess(empty).count() == 0 and quality.keep(empty).count() == 0
 
 
+def test_quality_stores_no_texts(docs, monkeypatch):
+    tables, store = [], quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: tables.append(df.columns) or store(df, name))
+    kept = {r.doc_id for r in quality.keep(docs).collect()}
+    assert kept == {r.doc_id for r in quality.assess(docs).where("kept").collect()}
+    assert tables and not any({"doc", "text"} & set(c) for c in tables)
+
+
 def test_pii_spans(spark):
     texts = [
         (1, "mail bob.x@mail1.example.com, card 4111 1111 1111 1111 or 4111111111111112; ip 10.0.0.255 and 10.0.0.256"),
