@@ -171,3 +171,11 @@ def test_tall_boxes_overlap(spark):
     other = spark.createDataFrame([(1, 1, 1, 0, 170, 3000, 900, "a", 50), (1, 1, 2, 5005, 5, 10, 10, "b", 50), (1, 2, 3, 0, 0, 3000, 900, "a", 50)], row)
     assert sorted((r.base_seq, r.other_seq) for r in quality.overlaps(base, other).collect()) == [(1, 1), (2, 2)]
     assert [(r.base_seq, r.other_seq) for r in quality.duplicates(base, other).collect()] == [(1, 1)]
+
+
+def _plan(spark, name):
+    return catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_observations_are_made_after_the_only_shuffle(spark):
+    assert _plan(spark, "observations_once").count("Exchange hashpartitioning") == 1
