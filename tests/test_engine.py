@@ -179,3 +179,7 @@ def _plan(spark, name):
 
 def test_observations_are_made_after_the_only_shuffle(spark):
     assert _plan(spark, "observations_once").count("Exchange hashpartitioning") == 1
+
+
+def test_totals_need_no_window_over_blocks(spark):
+    assert "Window" not in _plan(spark, "field_total_proximity")
