@@ -183,3 +183,8 @@ def test_observations_are_made_after_the_only_shuffle(spark):
 
 def test_totals_need_no_window_over_blocks(spark):
     assert "Window" not in _plan(spark, "field_total_proximity")
+
+
+def test_sheet_makes_no_messages(spark):
+    assert "Invoice number found" in _plan(spark, "validate_messages")
+    assert "Invoice number found" not in _plan(spark, "export_sheet_validation")
