@@ -188,3 +188,26 @@ def test_totals_need_no_window_over_blocks(spark):
 def test_sheet_makes_no_messages(spark):
     assert "Invoice number found" in _plan(spark, "validate_messages")
     assert "Invoice number found" not in _plan(spark, "export_sheet_validation")
+
+
+def _inferring(df):
+    """Generators from which the optimizer infers a filter that works out their array once more: those of a column that are not outer."""
+    found, left = [], [df._jdf.queryExecution().analyzed()]
+    while left:
+        node = left.pop()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate" and not node.outer() and node.generator().children().head().getClass().getSimpleName() == "AttributeReference":
+            found.append(node.generator().toString())
+    return found
+
+
+def test_rows_of_pages_make_their_array_once(spark):
+    a = spark.range(1, 3).selectExpr("id as doc_id", "1 as page_number", "filter(array(struct(string(id) as text), struct(null as text)), x -> id = 1) as blocks")
+    rows = layout.unpaged(a.withColumn("blocks", F.transform("blocks", lambda x: F.struct(F.concat(x["text"], F.lit("marked")).alias("text")))))
+    assert [tuple(r) for r in rows.collect()] == [(1, 1, "1marked"), (1, 1, None)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("marked") == 1
+
+
+@pytest.mark.parametrize("name", ["row_quantity"])
+def test_arrays_are_made_once(spark, name):
+    assert _inferring(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")) == []
