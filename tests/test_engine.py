@@ -208,6 +208,6 @@ def test_rows_of_pages_make_their_array_once(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("marked") == 1
 
 
-@pytest.mark.parametrize("name", ["row_quantity", "row_neighbors", "money_roles", "row_discount", "total_nearest", "identifier_nearest", "export_sheet_validation"])
+@pytest.mark.parametrize("name", ["row_quantity", "row_neighbors", "money_roles", "row_discount", "total_nearest", "identifier_nearest", "export_sheet_validation", "end_to_end", "observations_backfill"])
 def test_arrays_are_made_once(spark, name):
     assert _inferring(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")) == []
