@@ -208,6 +208,13 @@ def test_rows_of_pages_make_their_array_once(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("marked") == 1
 
 
-@pytest.mark.parametrize("name", ["row_quantity", "row_neighbors", "money_roles", "row_discount", "total_nearest", "identifier_nearest", "export_sheet_validation", "end_to_end", "observations_backfill"])
+@pytest.mark.parametrize("name", ["row_quantity", "row_neighbors", "money_roles", "row_discount", "total_nearest", "identifier_nearest", "export_sheet_validation", "end_to_end", "observations_backfill", "items_description"])
 def test_arrays_are_made_once(spark, name):
     assert _inferring(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")) == []
+
+
+def test_blocks_of_a_table_are_sorted_once(spark):
+    a = spark.range(2).selectExpr("id as doc_id", "1 as page_number", "id as block_number", "'x' as text", "1 as x_start", "2 as x_end", "1 as y_start", "2 as y_end", "if(id = 0, 'PRODUCT_TABLE', null) as spatial_region")
+    pages = tables.pages(a, tables.STARTS)
+    assert [r.doc_id for r in pages.collect()] == [0]
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
