@@ -218,3 +218,14 @@ def test_blocks_of_a_table_are_sorted_once(spark):
     pages = tables.pages(a, tables.STARTS)
     assert [r.doc_id for r in pages.collect()] == [0]
     assert pages._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1
+
+
+def _outer_lambda_arrays(df, name):
+    """How many arrays the projection that makes column `name` makes, those within lambdas included."""
+    line = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if f" AS {name}#" in x)
+    return line.count("transform(")
+
+
+def test_a_region_is_found_without_the_page_for_each_block(spark):
+    a = spark.range(1).selectExpr("id as doc_id", "1 as page_number", "array(struct(id as block_number, string(id) as text, id as x_start, id as x_end, id as y_start, '' as section)) as blocks")
+    assert _outer_lambda_arrays(spatial.assigned_pages(a), "blocks") == 1
