@@ -229,3 +229,11 @@ def _outer_lambda_arrays(df, name):
 def test_a_region_is_found_without_the_page_for_each_block(spark):
     a = spark.range(1).selectExpr("id as doc_id", "1 as page_number", "array(struct(id as block_number, string(id) as text, id as x_start, id as x_end, id as y_start, '' as section)) as blocks")
     assert _outer_lambda_arrays(spatial.assigned_pages(a), "blocks") == 1
+
+
+def test_a_neighbour_is_found_without_the_row_for_each_block(spark):
+    x = "struct(id as b, double(id) as y0, double(id) as y1)"
+    a = spark.range(1).selectExpr("id as doc_id", f"array({x}) as own", f"array({x}, struct(id + 1 as b, double(id) as y0, double(id) as y1)) as `all`")
+    rows = tables.with_neighbours(a.repartition(1))
+    assert _outer_lambda_arrays(rows.selectExpr("doc_id", "near"), "near") == 0
+    assert [len(r.near) for r in rows.collect()] == [1]
