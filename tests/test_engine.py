@@ -237,3 +237,8 @@ def test_a_neighbour_is_found_without_the_row_for_each_block(spark):
     rows = tables.with_neighbours(a.repartition(1))
     assert _outer_lambda_arrays(rows.selectExpr("doc_id", "near"), "near") == 0
     assert [len(r.near) for r in rows.collect()] == [1]
+
+
+def test_rates_of_a_row_are_gathered_once(spark):
+    plan = catalogue.QUERIES["money_roles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(rates#" in plan and "exists(flatten(" not in plan
